@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -39,6 +41,12 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+def worker_state() -> dict:
+    """What a Python worker keeps between tasks. Functions come to it by value, so their own module's globals don't last."""
+    module = sys.modules.setdefault("_tidegraph_worker", types.ModuleType("_tidegraph_worker"))
+    return module.__dict__.setdefault("state", {})
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset (as in tests) one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
