@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing
+from . import chat, media, mixing, pieces, secrets
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op5_source_mix": mixing.op5_source_mix,
     "op7_media_columns": media.op7_media_columns,
+    "op8_secret_scan": secrets.op8_secret_scan,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 
 ORACLE_SQL = {
