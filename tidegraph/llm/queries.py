@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, pieces, secrets
+from . import chat, media, mixing, pieces, secrets, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_chat_format": chat.op2_chat_format,
     "op5_source_mix": mixing.op5_source_mix,
     "op7_media_columns": media.op7_media_columns,
