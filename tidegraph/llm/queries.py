@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, pieces, secrets, simhash
+from . import chat, media, mixing, pieces, quality, secrets, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_source_mix": mixing.op5_source_mix,
     "op7_media_columns": media.op7_media_columns,
     "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_quality_gam": quality.op9_quality_gam,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 
