@@ -29,7 +29,7 @@ from .common import map_batches, table, text_column, worker_state
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Segments that a worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Symbols of a segment up to which the agenda is scanned.
 SHORT = 32
 NONE = float("-inf")
@@ -99,7 +99,17 @@ class Vocabulary:
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in joined))
         inner = f"[^{MARK}{re.escape(alone)}]" if alone else f"[^{MARK}]"
         self.segments = re.compile(f"{MARK}*{inner}+|{MARK}+" + (f"|[{re.escape(alone)}]" if alone else "") if cuts else "(?s).+")
-        self.known: dict[str, tuple[int, str]] = {}
+        self.known: dict[str, list[int]] = {}
+        self.fresh: dict[str, list[int]] = {}  # segments encoded since the library was last asked
+        #: How pieces read; None where neighbours decide.
+        self.spoken = [self._spoken(k) for k in range(len(self.pieces))]
+
+    def _spoken(self, number: int) -> str | None:
+        kind, piece = self.types[number], self.pieces[number]
+        if kind == BYTE:
+            value = int(piece[3:5], 16)
+            return chr(value) if value < 128 else None
+        return {CONTROL: "", UNKNOWN: " ⁇ "}.get(kind, piece.replace(MARK, " "))
 
     def _piece(self, entry: dict) -> None:
         piece, kind, number = entry.get(1, b"").decode(), entry.get(3, NORMAL), len(self.pieces)
@@ -171,6 +181,7 @@ class Vocabulary:
             found = known.get(segment)
             if found is None:
                 found = self.segment_ids(segment)
+                self.fresh[segment] = found
                 if len(segment) <= 64:
                     if len(known) >= REMEMBERED:
                         known.clear()
@@ -180,6 +191,18 @@ class Vocabulary:
         return ids
 
     def decode(self, ids: list[int]) -> str:
+        if not ids:
+            return ""
+        try:
+            text = "".join([self.spoken[k] for k in ids])
+        except TypeError:
+            return self._decode_bytes(ids)
+        if self.types[ids[0]] == CONTROL:
+            return self._decode_bytes(ids)
+        return text[1:] if self.types[ids[0]] == NORMAL and self.pieces[ids[0]].startswith(MARK) else text
+
+    def _decode_bytes(self, ids: list[int]) -> str:
+        """Decoding piece by piece, where byte pieces have to be gathered."""
         out: list[str] = []
         held = bytearray()
         first = True
@@ -243,12 +266,25 @@ def read_model(path: str | None = None) -> bytes:
         return f.read()
 
 
+def library_agrees(lib, segments: dict[str, list[int]]) -> bool:
+    """Whether the library gives segments the ids they have here. It puts a space in front of each, so that those without
+    one follow a line feed."""
+    spaced = lambda x: len(x) > 1 and x.startswith(MARK)
+    lines = [x[1:] if spaced(x) else "\n" + x for x in segments]
+    skip = len(lib.encode("\n"))
+    return all(mine == ids[0 if spaced(x) else skip :] for (x, mine), ids in zip(segments.items(), lib.encode(lines, num_threads=1), strict=True))
+
+
 def encode_batch(texts: list[str], model: bytes) -> list[tuple[list[int], str, bool]]:
-    """Ids, decoded text, and whether the sentencepiece library has the same of both, for a batch of texts."""
+    """Ids, decoded text, and whether the sentencepiece library has the same of both, for a batch of texts.
+
+    The library encodes each segment that the batch brings for the first time; should one differ, it encodes all the texts.
+    """
     own, lib = prepared(model)
     ids = [own.encode(text) for text in texts]
+    fresh, own.fresh = own.fresh, {}
     decoded = lib.decode(ids)
-    theirs = lib.encode(texts, num_threads=1, add_eos=True)
+    theirs = ids if library_agrees(lib, fresh) else lib.encode(texts, num_threads=1, add_eos=True)
     return [(a, d, a == b and own.decode(a) == d) for a, b, d in zip(ids, theirs, decoded, strict=True)]
 
 
