@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, pieces, quality, secrets, simhash
+from . import chat, media, mixing, pieces, quality, secrets, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_chat_format": chat.op2_chat_format,
+    "op4_warc_archive": warc.op4_warc_archive,
     "op5_source_mix": mixing.op5_source_mix,
     "op7_media_columns": media.op7_media_columns,
     "op8_secret_scan": secrets.op8_secret_scan,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_chat_format": chat.OP2_SQL,
+    "op4_warc_archive": warc.OP4_SQL,
     "op5_source_mix": mixing.OP5_SQL,
 }
