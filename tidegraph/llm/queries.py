@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, pieces, quality, secrets, simhash, warc
+from . import chat, media, mixing, parsing, pieces, quality, secrets, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_chat_format": chat.op2_chat_format,
+    "op3_phrase_fingerprint": parsing.op3_phrase_fingerprint,
     "op4_warc_archive": warc.op4_warc_archive,
     "op5_source_mix": mixing.op5_source_mix,
     "op7_media_columns": media.op7_media_columns,
