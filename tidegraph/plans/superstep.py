@@ -216,7 +216,7 @@ class _Python:
                     out.append(row)
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-        ship_by_value()
+        ship_by_value(program)
         return rows.select("id", "active", "out_degree", "value", "inbox", "edges").mapInArrow(compute, schema)
 
     def measures(self) -> list[Column]:
