@@ -33,6 +33,8 @@ from .common import BATCH_ROWS, map_batches, settle, table, text_column
 
 #: Nodes of partial wrappers that a task holds before it hands them on; partial wrappers of a host are dealt to SALTS.
 HELD_NODES, SALTS = 20_000, 64
+#: Elements nested deeper count as part of the one at this depth.
+DEPTH = 100
 #: A text is a constant of the template if it never differs on so many pages.
 CONSTANT_PAGES = 5
 
@@ -93,7 +95,7 @@ def blocks(page: str) -> Iterator[tuple[tuple, str, int]]:
         return words, linked
 
     def path() -> tuple:
-        return tuple(x for _, x in stack)
+        return tuple(x for _, x in stack[:DEPTH])
 
     for m in TOKEN.finditer(page):
         tag = m[3]
