@@ -52,6 +52,26 @@ class InDegree(VertexProgram):
         return Step(value=ctx.received.cast("double"), halt=True)
 
 
+class LabelPropagation(VertexProgram):
+    """Every vertex takes the label that most of its messages carry, of several the least, over so many rounds."""
+
+    combine = {"label": lambda src, value: F.mode(value, deterministic=True)}
+
+    def __init__(self, rounds: int):
+        self.rounds = rounds
+
+    def compute(self, ctx: Context) -> Step:
+        if ctx.superstep == 0:
+            return Step(message=lambda v, e: v.value)
+        done = ctx.superstep >= self.rounds
+        return Step(value=F.coalesce(ctx.inbox("label"), ctx.value), halt=done, message=None if done else lambda v, e: v.value)
+
+
+def label_propagation(graph: Graph, rounds: int, **options) -> Result:
+    """Labels after so many rounds; each vertex starts with its value."""
+    return run(graph, LabelPropagation(rounds), **options)
+
+
 def bfs(graph: Graph, source: int, max_supersteps: int | None = None, **options) -> Result:
     return run(graph, ShortestPaths(source, weighted=False), max_supersteps, **options)
 

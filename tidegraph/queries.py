@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from .functions.aggregators import FoldAggregator, avg, count, maximum, minimum, total
 from .functions.shared import settle
 from .operators.pagerank import PageRank, pagerank
-from .operators.traversal import bfs, in_degrees, propagate_most, shortest_paths, weak_components
+from .operators.traversal import bfs, in_degrees, label_propagation, propagate_most, shortest_paths, weak_components
 from .plans.graph import Graph, dense_vertices
 from .plans.program import Context, PandasVertexProgram, Step, VertexProgram
 from .plans.superstep import Result, run
@@ -124,6 +124,13 @@ def edge_list_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_edge_list(spark, f"{path}/part=*").edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+@query(f"{SUPPLY} SELECT id, 0.0::DOUBLE AS value FROM v WHERE id NOT IN (SELECT src FROM e)")
+def isolated_default_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What no edge starts from is there through the vertex count, with the zero value."""
+    graph = supply_graph(spark, sf_dir)
+    return dense_vertices(graph.edges, graph.vertices.count(), init=1.5).where("out_degree = 0").select("id", "value")
+
+
 @query(f"{PART} SELECT id, n AS out_degree FROM d")
 def out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_graph(spark, sf_dir).out_degrees()
@@ -175,6 +182,13 @@ def send_all_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(in_degrees(part_graph(spark, sf_dir)))
 
 
+@query(f"{PART} SELECT v.id, CAST(coalesce(s.x, 0) AS BIGINT) AS value FROM v LEFT JOIN (SELECT dst, count(*) AS x FROM e GROUP BY dst) s ON s.dst = v.id")
+def deliver_inbox_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = part_graph(spark, sf_dir)
+    graph = Graph(graph.vertices.select("id", F.lit(0).cast("long").alias("value")), graph.edges)
+    return run(graph, Ask(lambda src, m: F.count(m), message=lambda v, e: F.lit(1.0))).vertices.select("id", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
+
+
 @query(f"{PART} SELECT dst AS id, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS sources FROM e GROUP BY dst")
 def deliver_src_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message is seen by itself, with its source."""
@@ -457,6 +471,21 @@ def max_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(propagate_most(numbered, max_supersteps=4))
 
 
+def _labels(rounds: int) -> str:
+    out = ["l0 AS MATERIALIZED (SELECT id, CAST(id AS DOUBLE) AS val FROM v)"]
+    for k in range(1, rounds + 1):
+        most = f"SELECT dst, val FROM (SELECT e.dst, q.val, row_number() OVER (PARTITION BY e.dst ORDER BY count(*) DESC, q.val) AS k FROM l{k - 1} q JOIN e ON e.src = q.id GROUP BY e.dst, q.val) WHERE k = 1"
+        out.append(f"l{k} AS MATERIALIZED (SELECT p.id, coalesce(m.val, p.val) AS val FROM l{k - 1} p LEFT JOIN ({most}) m ON m.dst = p.id)")
+    return ", ".join(out)
+
+
+@query(f"{PART}, {_labels(3)} SELECT id, val AS value FROM l3")
+def label_prop_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = part_graph(spark, sf_dir)
+    numbered = Graph(graph.vertices.select("id", F.col("id").cast("double").alias("value")), graph.edges)
+    return rounded(label_propagation(numbered, 3))
+
+
 @query(f"{PART} SELECT v.id, CAST(count(e.dst) AS DOUBLE) AS value FROM v LEFT JOIN e ON e.dst = v.id GROUP BY v.id")
 def in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(in_degrees(part_graph(spark, sf_dir)))
