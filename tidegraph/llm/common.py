@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,10 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import shared
+from ..functions.shared import remove, shared_folder
 from ..functions.shipping import ship_by_value
 
 #: Rows of one Arrow batch. Texts may be very long, so that a worker holds few of them at once.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
+
+#: Rows of a table of a few numbers up to which it is broadcast: some 50 MB.
+FEW = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,18 +51,6 @@ def worker_state() -> dict:
     return module.__dict__.setdefault("state", {})
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset (as in tests) one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        made = spark.sparkContext.getCheckpointDir()
-        if not made:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidegraph-"))
-            made = spark.sparkContext.getCheckpointDir()
-        folder = made
-    return folder
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, removed when the driver ends."""
     path = f"{shared_folder(spark).rstrip('/')}/tidegraph-{label}-{uuid.uuid4().hex}"
@@ -66,20 +58,29 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path of the shared folder; a session that has ended leaves the files to the cluster's own cleaning."""
-    if spark.sparkContext._jsc is None:
-        return
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001 - the gateway is gone at interpreter exit
-        return
-
-
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Writes a frame as a table of the shared folder and reads it again: what is computed once survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return shared.settle(df, label)[0]
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """Marks a settled table of a few numbers a row for broadcasting if it has no more than FEW rows; else Spark shuffles."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+class Scratch:
+    """Tables of one computation, removed once it is over."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def settle(self, df: DataFrame, label: str) -> DataFrame:
+        made, path = shared.settle(df, label)
+        self.paths.append(path)
+        return made
+
+    def clear(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths = []

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, settle
+from .common import Scratch
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -29,17 +29,21 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of edges u, v (no nulls; loops and repeated edges are fine): root is the least node of its component."""
-    now = settle(edges.where("u != v").select("u", "v").distinct(), "edges")
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, root for every node of edges u, v (no nulls; loops and repeated edges are fine): root is the least node of its component.
+
+    The result is read from the last round's table, which scratch holds.
+    """
+    own = Scratch(edges.sparkSession)
+    now = own.settle(edges.where("u != v").select("u", "v").distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
-        after = settle(_small(_large(now)).where("u != v").distinct(), "edges")
-        seen, mark = mark, _mark(after)
-        for path in now.inputFiles()[:1]:
-            remove(now.sparkSession, path.rpartition("/")[0])
-        now = after
+        after = Scratch(edges.sparkSession)
+        now = after.settle(_small(_large(now)).where("u != v").distinct(), "edges")
+        own.clear()
+        own, seen, mark = after, mark, _mark(now)
         if mark == seen:
             break
+    scratch.paths += own.paths
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

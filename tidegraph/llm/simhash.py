@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, settle, table, text_column
+from .common import Scratch, map_batches, settle, table, text_column
 from .components import components
 
 WORDS, SEED, RADIUS, SEGMENTS, HOT = 3, 42, 3, 2, 256
@@ -132,7 +132,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -
 def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fp, component_id for rows doc_id, fp: the smallest doc_id that links of fingerprints reach."""
     distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct, radius)).withColumnRenamed("node", "fp")
+    roots = components(links(distinct, radius), Scratch(prints.sparkSession)).withColumnRenamed("node", "fp")
     placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return placed.join(names, "root").select("fp", "component_id")
