@@ -114,6 +114,41 @@ def test_buckets_with_many_groups_lose_no_pair(spark, monkeypatch):
     assert kept == set(joined(pairs).values())
 
 
+def with_block(text, kind, k):
+    """text with a block edited that leaves a similarity of 0.77 to 0.97: appended, cut off, put in place of the end or in front."""
+    words, n = text.split(), 4 + k % 30
+    block = prose(7000 + k, n).split()
+    return " ".join({"appended": words + block, "truncated": words[:-n], "replaced": words[: -(n // 2)] + block[: n // 2], "prepended": block + words}[kind])
+
+
+@pytest.mark.parametrize("sampled", [16_000, 0])
+def test_no_pair_with_an_edited_block_is_missed(spark, monkeypatch, sampled):
+    monkeypatch.setattr(neardup, "SAMPLED", sampled)
+    rows = []
+    for k in range(120):
+        text = prose(3000 + k, 130)
+        rows += [(2 * k, text, "en", "s", 0), (2 * k + 1, with_block(text, ("appended", "truncated", "replaced", "prepended")[k % 4], k), "en", "s", 0)]
+    kept = {i for i, _ in texts_of(neardup.drop_near_copies(spark.createDataFrame(rows, DOCS)))}
+    likes = [jaccard(a[1], b[1]) for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    assert sum(x >= 0.8 for x in likes) > 90 and min(likes) < 0.8
+    assert kept == {r[0] for r in rows} - {rows[2 * k + 1][0] for k, x in enumerate(likes) if x >= 0.8}
+
+
+def test_prefixes_of_similar_sets_meet_where_they_may():
+    """At a similarity of 0.8 and more, the first shingle of both prefixes is one by whose places the pair is possible."""
+    rng = np.random.default_rng(3)
+    common = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    counts = rng.integers(4, 9, len(common))
+    for _ in range(3000):
+        pool = np.unique(np.concatenate([rng.choice(common, rng.integers(0, 60)), rng.integers(0, 2**63, rng.integers(1, 60)).astype(np.uint64)]))
+        a, b = (np.sort(rng.choice(pool, max(1, int(len(pool) * rng.uniform(0.8, 1))), replace=False)) for _ in range(2))
+        if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+            continue
+        x, y = (neardup.prefix(s, common, counts).tolist() for s in (a, b))
+        i = next(k for k, h in enumerate(x) if h in y)
+        assert min(len(a) - i, len(b) - y.index(x[i])) * 1.8 >= 0.8 * (len(a) + len(b)) - 1e-6
+
+
 # Phrase fingerprints
 
 
