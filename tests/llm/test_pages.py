@@ -76,6 +76,20 @@ def test_wrappers_are_regular_expressions_without_unions():
     assert wrappers.Node.load(wrapper.dump()).pattern() == wrapper.pattern()
 
 
+@pytest.mark.parametrize("body", ["<article><h1>One head</h1><p>The only paragraph.</p></article>", "<article>Bare text</article>", "<div><h2>One</h2><blockquote>said so</blockquote><p>lone</p></div>"])
+def test_copies_of_one_page_are_no_template(spark, body):
+    pages = [(k, f"http://copies/{k}", f"<body>{body}</body>") for k in range(9)]
+    texts = {r["text"] for r in wrappers.extract(spark.createDataFrame(pages, PAGES)).collect()}
+    assert texts == {"\n".join(t for _, t, _ in wrappers.blocks(pages[0][2]) if t)}
+
+
+def test_headings_alike_in_all_articles_stay(spark):
+    """Texts that are alike on pages that differ: headings and plain paragraphs of an article stay, all else is template."""
+    make = lambda k: f"<body><div>We sell things</div><article><h1>Head {k}</h1><h2>Summary</h2><div class=x>{prose(k, 9)}</div><p>As ever.</p><div class=y>Print this</div></article></body>"
+    found = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame([(k, f"http://alike/{k}", make(k)) for k in range(8)], PAGES)).collect()}
+    assert found == {k: f"Head {k}\nSummary\n{prose(k, 9)}\nAs ever." for k in range(8)}
+
+
 def test_odd_pages(spark, put):
     rows = [
         (1, None, None),

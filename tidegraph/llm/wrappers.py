@@ -2,7 +2,7 @@
 
 A page's tokens are folded into a tree of block elements. Trees of one host are aligned one after another into its wrapper:
 siblings that come again become a repeated group, what one side lacks becomes optional, texts that differ become slots while
-texts that never differ stay constants. A wrapper is thus a regular expression without unions (Node.pattern() prints it).
+texts that never differ, on pages that do, stay constants. A wrapper is thus a regular expression without unions (Node.pattern() prints it).
 Roles of its nodes are settled once per host, from counts over all its pages: which element holds the main text, and which
 parts in it are boilerplate (by element, role or class, constant over many pages, or lists of links). A page's main text
 is then read along its host's wrapper.
@@ -22,6 +22,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from zlib import crc32
 
 import pyarrow as pa
@@ -35,7 +36,7 @@ from .common import BATCH_ROWS, map_batches, settle, table, text_column
 HELD_NODES, SALTS = 20_000, 64
 #: Elements nested deeper count as part of the one at this depth.
 DEPTH = 100
-#: A text is a constant of the template if it never differs on so many pages.
+#: A text is a constant of the template if it never differs on so many pages whose texts differ; captures of one page are one.
 CONSTANT_PAGES = 5
 
 TOKEN = re.compile(
@@ -57,6 +58,8 @@ SAID = frozenset(
     "ad ads adv advert adverts advertisement advertising banner promo promos promotion sponsor sponsored sponsors sidebar sidebars rail menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion search widget widgets toolbar pagination pager copyright legal disclaimer paywall hidden tags byline-links skip".split()
 )
 HEADS = frozenset({"header", "head", "hgroup"})
+#: Inside an article or main element they and plain paragraphs are main text, also if they are the same on all pages.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("article content main post entry story".split())
 
 
@@ -150,12 +153,13 @@ def blocks(page: str) -> Iterator[tuple[tuple, str, int]]:
 class Node:
     """A node of a wrapper: how many pages have it, whether it repeats, its text (a constant, or a slot), its children in order."""
 
-    __slots__ = ("aside", "chars", "children", "constant", "label", "linked", "pages", "repeats")
+    __slots__ = ("aside", "chars", "children", "constant", "label", "linked", "pages", "repeats", "seen")
 
     def __init__(self, label: str, aside: bool):
         self.label, self.aside, self.pages, self.repeats = label, aside, 0, False
         self.constant: int | None = None  # the only text seen so far; -1: a slot
         self.chars = self.linked = 0
+        self.seen: set[int] = set()  # digests of the pages with the constant, the CONSTANT_PAGES smallest
         self.children: dict[str, Node] = {}
 
     def count(self) -> int:
@@ -173,13 +177,14 @@ class Node:
         return whole if parents in (None, self.pages) else f"({whole})?"
 
     def dump(self) -> list:
-        return [self.label, int(self.aside), self.pages, int(self.repeats), self.constant, self.chars, self.linked, [c.dump() for c in self.children.values()]]
+        return [self.label, int(self.aside), self.pages, int(self.repeats), self.constant, self.chars, self.linked, [c.dump() for c in self.children.values()], sorted(self.seen)]
 
     @staticmethod
     def load(x: list) -> Node:
         node = Node(x[0], bool(x[1]))
         node.pages, node.repeats, node.constant, node.chars, node.linked = x[2], bool(x[3]), x[4], x[5], x[6]
         node.children = {c[0]: Node.load(c) for c in x[7]}
+        node.seen = set(x[8])
         return node
 
 
@@ -188,6 +193,8 @@ def page_tree(page: str) -> Node:
     root = Node("", False)
     root.pages = 1
     seen: dict[tuple, int] = {}
+    holders: list[Node] = []
+    whole = blake2b(digest_size=6)
     for path, text, linked in blocks(page):
         node = root
         for label, aside in path:
@@ -200,9 +207,14 @@ def page_tree(page: str) -> Node:
             seen[path] = seen.get(path, 0) + 1
             node.repeats |= seen[path] > 1
         else:
+            whole.update(text.encode() + b"\n")
+            holders.append(node)
             node.note(crc32(text.encode()))
             node.chars += len(text)
             node.linked += min(linked, len(text))
+    for node in holders:
+        if node.constant != -1:
+            node.seen = {int.from_bytes(whole.digest(), "big")}
     return root
 
 
@@ -215,6 +227,9 @@ def align(a: Node, b: Node) -> Node:
     a.linked += b.linked
     if b.constant is not None:
         a.note(b.constant)
+    a.seen = set() if a.constant == -1 else a.seen | b.seen
+    if len(a.seen) > CONSTANT_PAGES:
+        a.seen = set(sorted(a.seen)[:CONSTANT_PAGES])
     if any(label not in a.children for label in b.children):
         order = list(a.children)
         at = 0
@@ -260,7 +275,8 @@ def roles(wrapper: Node) -> dict:
 
     def visit(node: Node, path: str, inside: bool) -> int:
         tag = bare(node.label)
-        constant = node.pages >= CONSTANT_PAGES and node.constant not in (None, -1) and not node.children
+        own_prose = is_content(node) >= 2 or inside and (tag in HEADINGS or node.label == "p")
+        constant = len(node.seen) >= CONSTANT_PAGES and node.constant not in (None, -1) and not node.children and not own_prose
         list_of_links = tag in ("ul", "ol") and (total := text_all(node)) and linked_all(node) > 0.8 * total
         aside = node.aside and not (tag in ("html", "body", "article", "main") and "comment" not in node.label.lower() or tag not in ASIDE and holds(node, 2))
         if aside or constant or list_of_links or tag in HEADS and not inside:
