@@ -100,7 +100,6 @@ class Vocabulary:
         inner = f"[^{MARK}{re.escape(alone)}]" if alone else f"[^{MARK}]"
         self.segments = re.compile(f"{MARK}*{inner}+|{MARK}+" + (f"|[{re.escape(alone)}]" if alone else "") if cuts else "(?s).+")
         self.known: dict[str, list[int]] = {}
-        self.fresh: dict[str, list[int]] = {}  # segments encoded since the library was last asked
         #: How pieces read; None where neighbours decide.
         self.spoken = [self._spoken(k) for k in range(len(self.pieces))]
 
@@ -181,7 +180,6 @@ class Vocabulary:
             found = known.get(segment)
             if found is None:
                 found = self.segment_ids(segment)
-                self.fresh[segment] = found
                 if len(segment) <= 64:
                     if len(known) >= REMEMBERED:
                         known.clear()
@@ -266,26 +264,18 @@ def read_model(path: str | None = None) -> bytes:
         return f.read()
 
 
-def library_agrees(lib, segments: dict[str, list[int]]) -> bool:
-    """Whether the library gives segments the ids they have here. It puts a space in front of each, so that those without
-    one follow a line feed."""
-    spaced = lambda x: len(x) > 1 and x.startswith(MARK)
-    lines = [x[1:] if spaced(x) else "\n" + x for x in segments]
-    skip = len(lib.encode("\n"))
-    return all(mine == ids[0 if spaced(x) else skip :] for (x, mine), ids in zip(segments.items(), lib.encode(lines, num_threads=1), strict=True))
-
-
 def encode_batch(texts: list[str], model: bytes) -> list[tuple[list[int], str, bool]]:
     """Ids, decoded text, and whether the sentencepiece library has the same of both, for a batch of texts.
 
-    The library encodes each segment that the batch brings for the first time; should one differ, it encodes all the texts.
+    The library encodes every text whole. Should one differ, its ids are given and the worker forgets all segments.
     """
     own, lib = prepared(model)
     ids = [own.encode(text) for text in texts]
-    fresh, own.fresh = own.fresh, {}
-    decoded = lib.decode(ids)
-    theirs = ids if library_agrees(lib, fresh) else lib.encode(texts, num_threads=1, add_eos=True)
-    return [(a, d, a == b and own.decode(a) == d) for a, b, d in zip(ids, theirs, decoded, strict=True)]
+    theirs = lib.encode(texts, num_threads=1, add_eos=True)
+    if ids != theirs:
+        own.known.clear()
+    decoded = lib.decode(theirs)
+    return [(b, d, a == b and own.decode(a) == d) for a, b, d in zip(ids, theirs, decoded, strict=True)]
 
 
 def encode_texts(docs: DataFrame, model: bytes | None = None) -> DataFrame:
