@@ -16,8 +16,8 @@ from ..functions import shared
 from ..functions.shared import remove, shared_folder
 from ..functions.shipping import ship_by_value
 
-#: Rows of one Arrow batch. Texts may be very long, so that a worker holds few of them at once.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch. Texts may be very long, so that a worker holds few of them at once.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 #: Rows of a table of a few numbers up to which it is broadcast: some 50 MB.
 FEW = 1_000_000
@@ -41,10 +41,16 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
                 yield function(batch)
 
     ship_by_value()
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    limit_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Sets the session's limits of Arrow batches to ours. Plans read them when they are executed, so that they stay."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def worker_state() -> dict:
     """What a Python worker keeps between tasks. Functions come to it by value, so their own module's globals don't last."""
     module = sys.modules.setdefault("_tidegraph_worker", types.ModuleType("_tidegraph_worker"))

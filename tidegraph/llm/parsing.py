@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship_by_value
-from .common import BATCH_ROWS, table, text_column
+from .common import limit_batches, table, text_column
 
 LEVELS, KEEP, CHARS = (2, 3), 48, 1 << 20
 A, B, C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -205,7 +205,7 @@ def compare_next(docs: DataFrame) -> DataFrame:
                 yield answer(ids, texts, held[2])
 
     ship_by_value()
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    limit_batches(docs.sparkSession)
     rows, count = with_next(docs)
     sorted_rows = rows.repartitionById(count, "bucket").sortWithinPartitions("bucket", "lent", F.col("doc_id").desc_nulls_last(), "text")
     return sorted_rows.mapInArrow(run, schema)
