@@ -3,13 +3,18 @@
 Base patterns (assign, access, hex) are reported as they match. Beyond them, candidates are decoded and reported only when
 their structure holds: base64 or hex that parses as a private key in DER (PKCS#1, PKCS#8 plain or encrypted, SEC 1, DSA; every
 nested length must fit its parent exactly) or in OpenSSH's format (every length-prefixed field must fit), armoured
-blocks of such keys, and signed tokens whose header is JSON with an algorithm and whose parts decode.
+blocks of such keys (also quoted, or as a string in JSON or code), and signed tokens whose header is JSON with an algorithm and
+whose parts decode.
+
+Scans are linear in the text: a run of digits is delimited once, candidates in it read the few bytes that hold lengths, and only
+what has a key's shape is decoded whole; a token's header is decoded in growing pieces, as far as it can be one.
 
 Kinds in order: assign, access, hex, armour, der, openssh, token. Offsets are code points, end exclusive.
 
 Edge cases: null or empty text: no spans, the digest of the empty string. Ties at one start sort by kind. Repeated rows are
-scanned each for itself; null doc_id stays null; an empty table gives no rows; very long texts are scanned whole; nesting deeper
-than DEPTH is no key; further columns are ignored by the query and kept by redact_documents.
+scanned each for itself; null doc_id stays null; an empty table gives no rows; very long texts are scanned whole; further
+columns are ignored by the query and kept by redact_documents. Limits of the formats: elements nested deeper than DEPTH, or
+more than 64 keys in one OpenSSH file, are no key.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ import hashlib
 import json
 import re
 import struct
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,17 +41,20 @@ KEYWORDS = r"(password|passwd|secret|token|api_?key)"
 ASSIGN = re.compile(KEYWORDS + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.;()_-]*?)-----END \1-----", re.A)
-BASE64_KEY = re.compile(r"M[A-I][A-Za-z0-9+/_-]{30,}|b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/_-]{30,}")
-HEX_KEY = re.compile(r"30[0-9a-f]{62,}|6f70656e7373682d6b65792d763100[0-9a-f]{40,}", re.I | re.A)
-TOKEN = re.compile(r"e[wy][A-Za-z0-9_-]{6,}(?:\.[A-Za-z0-9_-]*){2,4}")
-LINES = re.compile(r"[A-Za-z0-9+/_=\r\n-]+")
+MARKER = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----", re.A)
+#: Where a key may start in a run of its digits; what follows is read only as far as its own lengths say.
+BASE64_KEY = re.compile(r"M[A-I](?=[A-Za-z0-9+/_-]{30})|b3BlbnNzaC1rZXktdjEA")
+HEX_KEY = re.compile(r"30(?=[0-9a-f]{62})|6f70656e7373682d6b65792d763100(?=[0-9a-f]{40})", re.I | re.A)
+BASE64_RUN, HEX_RUN = re.compile(r"[A-Za-z0-9+/_\r\n-]+"), re.compile(r"[0-9a-f]+", re.I | re.A)
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+)++")
+#: Base64 of "{" and a quotation mark or white space.
+HEADER = re.compile(r"e(?:y[A-DI-L]|w[k-r0-3])(?=[A-Za-z0-9_-]{5})")
 #: What a text must hold for each search to be worth it; a batch is tested at once, before any Python runs per text.
 SIEVES = {
     "assign": "(?i)" + KEYWORDS + """["']? *[:=]""",
     "access": "AKIA[A-Z0-9]{16}",
     "hex": "[0-9a-f]{24}",
-    "armour": "-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----",
+    "armour": "-----END [A-Z0-9 ]*PRIVATE KEY-----",
     "base64": "M[A-I][A-Za-z0-9+/_-]{30}|b3BlbnNzaC1rZXktdjEA",
     "hexkey": "(?i)30[0-9a-f]{62}|6f70656e7373682d6b65792d763100",
     "token": r"e[wy][A-Za-z0-9_-]{6,}\.",
@@ -57,77 +66,121 @@ class NoKey(ValueError):
     pass
 
 
-def der_head(data: bytes, at: int) -> tuple[int, int, int]:
+class Coded:
+    """Bytes behind digits, decoded where they are read."""
+
+    def __init__(self, length: int, read):
+        self.length, self.read = length, read
+
+    def __getitem__(self, k: int) -> int:
+        return self.read(k, k + 1)[0]
+
+    @staticmethod
+    def plain(data: bytes) -> Coded:
+        return Coded(len(data), lambda a, b: data[a:b])
+
+
+def der_head(data: Coded, at: int) -> tuple[int, int, int]:
     """Tag, begin and end of the body of the DER element at a place."""
-    if at + 2 > len(data):
+    if at + 2 > data.length:
         raise NoKey
-    tag, size, body = data[at], data[at + 1], at + 2
+    head = data.read(at, min(at + 6, data.length))
+    tag, size, body = head[0], head[1], at + 2
     if tag & 31 == 31:
         raise NoKey
     if size >= 128:
         n = size & 127
-        if not 1 <= n <= 4 or body + n > len(data):
+        if not 1 <= n <= 4 or body + n > data.length:
             raise NoKey
-        size, body = int.from_bytes(data[body : body + n]), body + n
+        size, body = int.from_bytes(head[2 : 2 + n]), body + n
         if size < 128 or size >> 8 * (n - 1) == 0:
             raise NoKey  # not the shortest form
     return tag, body, body + size
 
 
-def der_children(data: bytes, start: int, end: int, depth: int = 0) -> list[tuple[int, int, int]]:
-    """The elements that fill data[start:end] exactly; constructed ones must be filled in turn."""
-    if depth > DEPTH:
-        raise NoKey
+def der_shape(data: Coded, start: int, end: int) -> list[tuple[int, int, int]]:
+    """The elements that fill a range exactly, whatever is in them; more than a key has are none."""
     out = []
     while start < end:
         tag, a, b = der_head(data, start)
-        if b > end:
+        if b > end or len(out) > 12:
             raise NoKey
-        if tag & 32:
-            der_children(data, a, b, depth + 1)
         out.append((tag, a, b))
         start = b
     return out
 
 
-def is_der_key(data: bytes) -> bool:
-    """Whether bytes are one DER private key and nothing else."""
+def fill_exactly(data: Coded, parts: list[tuple[int, int, int]], depth: int = 0) -> None:
+    """Constructed elements must be filled exactly in turn."""
+    if depth > DEPTH:
+        raise NoKey
+    for tag, start, end in parts:
+        if tag & 32:
+            inner = []
+            while start < end:
+                inner.append(der_head(data, start))
+                start = inner[-1][2]
+            if start != end:
+                raise NoKey
+            fill_exactly(data, inner, depth + 1)
+
+
+def der_length(data: Coded) -> int:
+    """The bytes of a DER private key at the start of data; 0 if there is none. Most of what isn't one is told by a few heads."""
     try:
         tag, a, b = der_head(data, 0)
-        if tag != 0x30 or b != len(data):
-            return False
-        parts = der_children(data, a, b)
+        if tag != 0x30 or b > data.length:
+            return 0
+        # The first element, before others are walked: a version, or the algorithm of an encrypted key.
+        first_tag, first_a, first_b = der_head(data, a)
+        if first_tag == 2 and first_b - first_a == 1 and data[first_a] > 1 or first_tag not in (2, 0x30):
+            return 0
+        parts = der_shape(data, a, b)
         tags = [t for t, _, _ in parts]
-        first = data[parts[0][1] : parts[0][2]] if parts else b""
+        first = data.read(*parts[0][1:]) if first_tag == 2 and first_b - first_a == 1 else b""
+        inner = lambda k: der_shape(data, *parts[k][1:])
         if len(tags) >= 9 and tags[:9] == [2] * 9:
-            return first in (b"\0", b"\1")  # PKCS#1
-        if tags == [2] * 6:
-            return first == b"\0"  # DSA
-        if tags[:3] == [2, 0x30, 4] and set(tags[3:]) <= {0xA0, 0xA1, 0x81}:
-            return first in (b"\0", b"\1") and der_children(data, *parts[1][1:])[0][0] == 6 and parts[2][2] > parts[2][1]  # PKCS#8
-        if tags[:2] == [2, 4] and set(tags[2:]) <= {0xA0, 0xA1}:
-            return first == b"\1" and parts[1][2] - parts[1][1] >= 14  # SEC 1
-        if tags == [0x30, 4]:
-            inner = der_children(data, *parts[0][1:])  # PKCS#8, encrypted: by RSADSI's PKCS#5 or PKCS#12
-            return len(inner) >= 2 and inner[0][0] == 6 and data[inner[0][1] : inner[0][2]].startswith(bytes.fromhex("2a864886f70d01"))
-        return False
+            good = first in (b"\0", b"\1")  # PKCS#1
+        elif tags == [2] * 6:
+            good = first == b"\0"  # DSA
+        elif tags[:3] == [2, 0x30, 4] and set(tags[3:]) <= {0xA0, 0xA1, 0x81}:
+            good = first in (b"\0", b"\1") and inner(1)[0][0] == 6 and parts[2][2] > parts[2][1]  # PKCS#8
+        elif tags[:2] == [2, 4] and set(tags[2:]) <= {0xA0, 0xA1}:
+            good = first == b"\1" and parts[1][2] - parts[1][1] >= 14  # SEC 1
+        elif tags == [0x30, 4]:
+            body = inner(0)  # PKCS#8, encrypted: by RSADSI's PKCS#5 or PKCS#12
+            good = len(body) >= 2 and body[0][0] == 6 and data.read(*body[0][1:]).startswith(bytes.fromhex("2a864886f70d01"))
+        else:
+            good = False
+        if not good:
+            return 0
+        fill_exactly(data, parts)
+        return b
     except (NoKey, IndexError):
-        return False
+        return 0
 
 
-def openssh_length(data: bytes) -> int:
+def is_der_key(data: bytes) -> bool:
+    """Whether bytes are one DER private key and nothing else."""
+    return der_length(Coded.plain(data)) == len(data) > 0
+
+
+def openssh_length(data: Coded) -> int:
     """The bytes that an OpenSSH private key at the start of data takes; 0 if there is none."""
     at = len(OPENSSH)
-    if not data.startswith(OPENSSH):
+    if data.length < at or data.read(0, at) != OPENSSH:
         return 0
 
+    def number() -> int:
+        if at + 4 > data.length:
+            raise NoKey
+        return struct.unpack(">I", data.read(at, at + 4))[0]
+
     def string() -> int:
         nonlocal at
-        if at + 4 > len(data):
-            raise NoKey
-        size = struct.unpack_from(">I", data, at)[0]
+        size = number()
         at += 4 + size
-        if at > len(data):
+        if at > data.length:
             raise NoKey
         return size
 
@@ -135,7 +188,7 @@ def openssh_length(data: bytes) -> int:
         if not string():
             return 0
         string(), string()
-        if at + 4 > len(data) or not 1 <= (n := struct.unpack_from(">I", data, at)[0]) <= 64:
+        if not 1 <= (n := number()) <= 64:
             return 0
         at += 4
         for _ in range(n):
@@ -145,15 +198,24 @@ def openssh_length(data: bytes) -> int:
         return 0
 
 
-def key_kind(data: bytes) -> tuple[str, int] | None:
+def may_begin(head: bytes) -> bool:
+    """Whether a dozen bytes may be how a key begins: a sequence of a version, or of an algorithm with its identifier."""
+    if head[:1] == OPENSSH[:1]:
+        return True
+    at = 2 + (head[1] & 127 if head[1] & 128 else 0)
+    if at + 2 >= len(head):
+        return at <= 6
+    if head[at] == 2:
+        return head[at + 1] > 1 or head[at + 2] < 2
+    at += 2 + (head[at + 1] & 127 if head[at + 1] & 128 else 0) if head[at] == 0x30 else len(head) + 16
+    return at < len(head) + 4 and (at >= len(head) or head[at] == 6)
+
+
+def key_kind(data: Coded) -> tuple[str, int] | None:
     """The kind of the private key with which data begins, and its bytes."""
     if (n := openssh_length(data)) :
         return "openssh", n
-    try:
-        _, _, end = der_head(data, 0)
-    except NoKey:
-        return None
-    return ("der", end) if end <= len(data) and is_der_key(data[:end]) else None
+    return ("der", n) if (n := der_length(data)) else None
 
 
 def decode64(text: str) -> bytes:
@@ -166,9 +228,13 @@ def decode64(text: str) -> bytes:
         return b""
 
 
-def armoured(head: str, body: str) -> bool:
-    """Whether an armoured block holds a private key."""
-    lines = body.strip().splitlines()
+def armoured(body: str) -> bool:
+    """Whether what stands between the markers of an armoured block is a private key. It may be quoted, or a string in code or
+    JSON: line ends written \\n, quotation marks, and > or | or # before lines are passed over."""
+    body = re.sub(r"\\r|\\n", "\n", body)
+    body = re.sub(r"""["']\s*\+\s*["']""", "\n", body)
+    lines = [x.strip(" \t>|#*\"',;\\") for x in body.splitlines()]
+    lines = [x for x in lines if x]
     headers = {}
     while lines and ":" in lines[0]:
         name, _, value = lines.pop(0).partition(":")
@@ -176,38 +242,49 @@ def armoured(head: str, body: str) -> bool:
     data = decode64("".join("".join(lines).split()))
     if "ENCRYPTED" in headers.get("Proc-Type", ""):
         return "DEK-Info" in headers and len(data) >= 16 and len(data) % 8 == 0
-    found = key_kind(data)
+    found = key_kind(Coded.plain(data))
     return found is not None and found[1] == len(data)
 
 
+def armour_blocks(text: str):
+    """Armoured blocks with a key: each END closes the nearest BEGIN before it, if that says the same."""
+    begun = None
+    for m in MARKER.finditer(text):
+        if m[1] == "BEGIN":
+            begun = m
+        else:
+            if begun is not None and begun[2] == m[2] and armoured(text[begun.end() : m.start()]):
+                yield begun.start(), m.end()
+            begun = None
+
+
 def base64_keys(text: str):
     """Keys in bare base64. Lines may be broken; the key's own length says where it ends."""
-    at = 0
+    at, stop = 0, 0
     while m := BASE64_KEY.search(text, at):
         at = m.start() + 1
-        area = LINES.match(text, m.start())
-        places, chars = [], []
-        head = decode64(m.group()[:16])
-        try:
-            need = der_head(head, 0)[2] if head[:1] == b"0" else area.end() - area.start()
-        except NoKey:
+        if at > stop:
+            run = BASE64_RUN.match(text, m.start())
+            start, stop = run.span()
+            breaks = [k for k in range(start, stop) if text[k] in "\r\n"] if "\n" in run.group() or "\r" in run.group() else []
+            digits = run.group().replace("\r", "").replace("\n", "").replace("-", "+").replace("_", "/")
+            # Of each break, its place among digits: what digits come before it.
+            places = [k - start - j for j, k in enumerate(breaks)]
+        first = m.start() - start - bisect_left(breaks, m.start())
+        if not may_begin(base64.b64decode(digits[first : first + 16])):
             continue
-        for k in range(area.start(), area.end()):
-            c = text[k]
-            if c in "\r\n":
-                continue
-            if c == "=":
-                break
-            places.append(k)
-            chars.append(c)
-            if len(chars) * 3 >= need * 4 + 3:
-                break
-        data = decode64("".join(chars))
-        found = key_kind(data)
+
+        def read(a: int, b: int) -> bytes:
+            p, q = a // 3 * 4, -(-b // 3) * 4
+            some = digits[first + p : first + q]  # noqa: B023
+            return base64.b64decode(some + "=" * (-len(some) % 4))[a % 3 : a % 3 + b - a]
+
+        found = key_kind(Coded((len(digits) - first) * 3 // 4, read))
         if found is None:
             continue
         used = -(-found[1] * 4 // 3)
-        end = places[used - 1] + 1
+        last = first + used - 1
+        end = start + last + bisect_right(places, last) + 1
         pads = -used % 4
         while pads and text[end : end + 1] == "=":
             end, pads = end + 1, pads - 1
@@ -216,23 +293,45 @@ def base64_keys(text: str):
 
 
 def hex_keys(text: str):
-    at = 0
+    at, stop = 0, 0
     while m := HEX_KEY.search(text, at):
-        at = m.start() + 1
-        digits = m.group()
-        found = key_kind(bytes.fromhex(digits[: len(digits) & ~1]))
+        first = m.start()
+        at = first + 1
+        if at > stop:
+            stop = HEX_RUN.match(text, first).end()
+        if not may_begin(bytes.fromhex(text[first : first + 24])):
+            continue
+        found = key_kind(Coded((stop - first) // 2, lambda a, b: bytes.fromhex(text[first + 2 * a : first + 2 * b])))  # noqa: B023
         if found:
-            yield found[0], m.start(), m.start() + 2 * found[1]
-            at = m.start() + 2 * found[1]
+            yield found[0], first, first + 2 * found[1]
+            at = first + 2 * found[1]
 
 
-def is_token(token: str) -> bool:
-    parts = token.split(".")
-    try:
-        head = json.loads(decode64(parts[0]))
-    except (ValueError, RecursionError):
-        return False
-    if not isinstance(head, dict) or not isinstance(head.get("alg"), str):
+def header_of(digits: str, start: int) -> dict | None:
+    """The JSON object that base64 from a place to its end is, read in growing pieces, as far as it can be one."""
+    size = 16
+    while True:
+        whole = start + size >= len(digits)
+        data = decode64(digits[start : start + size])
+        try:
+            text = data.decode()
+            found = json.loads(text)
+            if whole:
+                return found if isinstance(found, dict) else None
+        except UnicodeDecodeError as e:
+            if whole or e.start < len(data) - 3:
+                return None
+        except json.JSONDecodeError as e:
+            if whole or e.pos < len(text) - 12 and not e.msg.startswith("Unterminated"):
+                return None
+        except (ValueError, RecursionError):
+            return None
+        size *= 4
+
+
+def is_token(parts: list[str], head: dict) -> bool:
+    """Whether the parts of a signed or encrypted token are what its header says."""
+    if not isinstance(head.get("alg"), str):
         return False
     if len(parts) == 5:
         return isinstance(head.get("enc"), str) and all(decode64(x) for x in parts[2:])
@@ -245,15 +344,24 @@ def is_token(token: str) -> bool:
 
 
 def tokens(text: str):
-    at = 0
-    while m := TOKEN.search(text, at):
-        at = m.start() + 1
-        parts = m.group().split(".")
-        for n in (5, 3):
-            if len(parts) >= n and is_token(token := ".".join(parts[:n])):
-                yield "token", m.start(), m.start() + len(token)
-                at = m.start() + len(token)
-                break
+    """Parts joined by dots are found once; headers are looked for in each part, up to its end."""
+    for area in DOTTED.finditer(text):
+        parts = area.group().split(".")
+        begin, free = area.start(), 0  # where a part begins; what lies before free is in a token already
+        for k, part in enumerate(parts[:-2]):
+            for m in HEADER.finditer(part) if begin >= free else ():
+                head = header_of(part, m.start())
+                if head is None:
+                    continue
+                for n in (5, 3):
+                    some = [part[m.start() :], *parts[k + 1 : k + n]]
+                    if len(some) == n and is_token(some, head):
+                        free = begin + m.start() + len(".".join(some))
+                        yield "token", begin + m.start(), free
+                        break
+                if free > begin:
+                    break
+            begin += len(part) + 1
 
 
 def scan(text: str, sieved: set[str] | None = None) -> list[tuple[int, int, int, int]]:
@@ -266,7 +374,7 @@ def scan(text: str, sieved: set[str] | None = None) -> list[tuple[int, int, int,
         if name in run:
             found += [(m.start(), kind, m.end(), m.start()) for m in pattern.finditer(text)]
     if "armour" in run:
-        found += [(m.start(), 3, m.end(), m.start()) for m in ARMOUR.finditer(text) if armoured(m[1], m[2])]
+        found += [(a, 3, b, a) for a, b in armour_blocks(text)]
     for name, search in (("base64", base64_keys), ("hexkey", hex_keys), ("token", tokens)):
         if name in run:
             found += [(a, KINDS.index(kind), b, a) for kind, a, b in search(text)]
