@@ -83,3 +83,20 @@ def test_mix_of_documents_repeats_whole_rows(spark, clashing):
     words = lambda texts: sum(len(t.split()) for t in texts)
     assert abs(words(mixed.text) - 1.5 * words(r["text"] for r in rows.collect())) <= 3 * 45
     assert mixing.mix_documents(clashing).columns == clashing.columns and mixing.mix_documents(clashing.limit(0)).count() == 0
+
+
+def test_mix_of_rows_without_or_with_equal_ids(spark, put):
+    words = lambda rows: sum(len((r["text"] or "").split()) for r in rows)
+    for ids in (lambda k: None, lambda k: 7, lambda k: k // 40):
+        for text in (lambda k: "a b c d e", lambda k: f"w{k} b c d e"):
+            rows = spark.createDataFrame([(ids(k), text(k), "en", "s", k) for k in range(400)], DOCS).repartition(5)
+            mixed = mixing.mix_documents(rows).collect()
+            assert len(mixed) == 600 and words(mixed) == 3000
+            counts = {}
+            for r in mixed:
+                counts[r["n_chars"]] = counts.get(r["n_chars"], 0) + 1
+            assert max(counts.values()) <= 2 and len(counts) == 400
+            folder = put(documents=rows)
+            same(mixing.op5_source_mix, mixing.OP5_SQL, folder, spark)
+    repeated = spark.createDataFrame([(1, "a b", "en", "s", 2)] * 301, DOCS).repartition(4)
+    assert len(mixing.mix_documents(repeated).collect()) in (451, 452)
