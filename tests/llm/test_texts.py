@@ -69,18 +69,22 @@ def test_simhash_against_brute_force(spark, put, clashing):
     assert simhash.op1_simhash(spark, put(documents=docs.limit(0))).count() == 0
 
 
-@pytest.mark.parametrize("hot", [256, 2])
-def test_links_are_all_pairs_within_the_radius(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot", [256, 2, 0])
+def test_links_connect_what_all_pairs_connect(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT", hot)
     rng = np.random.default_rng(1)
     centre = rng.integers(0, 2**63, 3)
-    prints = {0, *(int(c) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 4), replace=False)) for c in centre for _ in range(60))}
-    found = rows_of(simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long")), ["u", "v"])
-    assert found == sorted(((a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3), key=repr)
+    prints = {0, *(int(c) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 5), replace=False)) for c in centre for _ in range(60))}
+    prints |= {(7 << 40) ^ (1 << j) ^ (1 << k) for j in range(30) for k in range(j)}  # a dense cluster, all alike in one segment
+    links = rows_of(simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), Scratch(spark)), ["u", "v"])
+    near = [(a, b) for a in prints for b in prints if (a ^ b).bit_count() <= 3]
+    assert all(a != b and (a ^ b).bit_count() <= 3 for a, b in links) and len(links) <= 66 * len(prints)
+    same = lambda pairs: joined([*pairs, *((p, p) for p in prints)])
+    assert same(links) == same(near)
 
 
 def test_components_of_chains_hubs_and_loops(spark):
-    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(30)] + [(7, 7), (300, 200), (200, 300)]
+    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(300)] + [(7, 7), (700, 600), (600, 700)]
     found = dict(rows_of(components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark)), ["node", "root"]))
     assert found == joined([e for e in edges])
     assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark)).count() == 0
@@ -106,6 +110,14 @@ def test_near_copies_go_and_others_stay(spark, clashing):
     assert kept.columns == docs.columns and neardup.drop_near_copies(docs.limit(0)).count() == 0
 
 
+def test_texts_that_share_half_an_md5_all_stay(spark, monkeypatch):
+    """Nodes that stand for several texts: no text goes that has no copy or near copy."""
+    half = neardup.half_of
+    monkeypatch.setattr(neardup, "half_of", lambda text, k: half(text, 1) if k else F.pmod(half(text, 0), F.lit(3)))
+    rows = [(k, prose(4000 + k % 20, 60), "en", "s", 0) for k in range(60)]
+    assert sorted(i for i, _ in texts_of(neardup.drop_near_copies(spark.createDataFrame(rows, DOCS)))) == list(range(20))
+
+
 def test_buckets_with_many_groups_lose_no_pair(spark, monkeypatch):
     """Without a round that is worth another, the last step compares what is left."""
     monkeypatch.setattr(neardup, "FAIR", 2.0)

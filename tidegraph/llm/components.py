@@ -2,31 +2,46 @@
 
 Each round rewires neighbours to the least node they know; the number of rounds is logarithmic in practice, also for
 chains. Rounds are tables of the shared folder, nothing is collected but a count and a checksum, and a hub's neighbours are
-never gathered: minima are aggregated in parts and joined back, a join whose large keys Spark splits.
+never gathered: minima are aggregated in parts, and nodes with more than 1/HUBS of all rows, which are HUBS at most, get
+theirs from a broadcast table while the rest is joined by shuffling.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 
-def _large(edges: DataFrame) -> DataFrame:
+HUBS = 64
+
+
+def _with_least(rows: DataFrame, least: DataFrame, count: int) -> DataFrame:
+    """rows u, v with the m of their u in least (u, m, n); count: how many rows n counts in all."""
+    hubs = F.broadcast(least.where(F.col("n") * HUBS > count).select("u", "m"))  # HUBS rows at most
+    light = rows.join(hubs, "u", "left_anti").join(least.where(F.col("n") * HUBS <= count).select("u", "m"), "u")
+    return light.unionByName(rows.join(hubs, "u"))
+
+
+def _large(edges: DataFrame, count: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
+    return _with_least(both.where("v > u"), least, 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, count: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return _with_least(down, least, count).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settle(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple]:
+    """edges as a table of scratch, their number and a checksum, in one job."""
+    seen = Observation()
+    made = scratch.settle(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+    found = seen.get
+    return made, (found["n"], found["sum"])
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -35,13 +50,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     The result is read from the last round's table, which scratch holds.
     """
     own = Scratch(edges.sparkSession)
-    now = own.settle(edges.where("u != v").select("u", "v").distinct(), "edges")
-    mark = _mark(now)
+    now, mark = _settle(edges.where("u != v").select("u", "v").distinct(), own)
     while mark[0]:
-        after = Scratch(edges.sparkSession)
-        now = after.settle(_small(_large(now)).where("u != v").distinct(), "edges")
+        after, seen = Scratch(edges.sparkSession), mark
+        now, mark = _settle(_small(_large(now, mark[0]), mark[0]).where("u != v").distinct(), after)
         own.clear()
-        own, seen, mark = after, mark, _mark(now)
+        own = after
         if mark == seen:
             break
     scratch.paths += own.paths

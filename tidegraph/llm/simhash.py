@@ -4,10 +4,12 @@ A fingerprint has 64 bits; a bit is set if it is set in over half the XXH64 hash
 included. Fingerprints link at RADIUS or fewer differing bits. Each is cut into SEGMENTS; where two link, one of their
 segments differs by RADIUS // SEGMENTS bits at most. So the table holds each distinct fingerprint by its segments, every
 fingerprint asks for the Hamming ball of that radius around each of its own, and complete distances of the matches are
-verified. Buckets of more than HOT fingerprints are asked by a second level, which cuts the other bits in turn.
+verified.
 
-Only distinct fingerprints are linked: copies meet in one aggregate. Pairs are found once, by the smaller fingerprint and the
-first segment that gives them.
+Only distinct fingerprints are linked: copies meet in one aggregate. Dense clusters are never expanded into their pairs:
+first, each fingerprint is compared with one member of every bucket it asks for, and components are taken; then, with all
+members of the buckets that still hold another component, of which one link per pair of components is kept. Buckets of more than
+HOT fingerprints are asked by a second level then, which cuts the other bits in turn. No candidate is dropped.
 
 Edge cases: null text: empty. Texts without words have fingerprint zero and link like any other; texts with fewer
 words than a shingle are one shingle. Repeated rows are rows of one group; a null doc_id never names a group unless all of
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -94,45 +95,43 @@ def differing(a: Column, b: Column, part: int = -1) -> Column:
     return F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(part)))
 
 
-def first_found(a: Column, b: Column, seg: str, parts: list[tuple[int, int]], radius: int) -> Column:
-    """Whether no earlier segment has given the pair."""
-    out = F.col(seg) == 0
-    for k in range(1, len(parts)):
-        earlier = [differing(a, b, mask(*part)) <= radius for part in parts[:k]]
-        out = out | ((F.col(seg) == k) & ~reduce(or_, earlier))
-    return out
-
-
-def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
-    """All pairs u < v of distinct fingerprints (column fp) that differ by radius bits at most, each once."""
-    parts, near = cut(segments), radius // segments
-    rows = keyed(distinct.select("fp"), parts, 0, "t").select(F.col("fp").alias("v"), "t_seg", "t_key")
-    hot = settle(rows.groupBy("t_seg", "t_key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("t_seg", "t_key"), "hot")
-    some = not hot.isEmpty()
+def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+    """Pairs u, v of distinct fingerprints (column fp) that differ by radius bits at most, enough of them to connect all that any such pairs connect."""
+    parts, near, on = cut(segments), radius // segments, ["t_seg", "t_key"]
+    u, v = F.col("u"), F.col("v")
+    rows = keyed(distinct.select("fp"), parts, 0, "t").withColumnRenamed("fp", "v")
+    buckets = scratch.settle(rows.groupBy(*on).agg(F.min("v").alias("one"), F.count("*").alias("n")), "buckets")
     asks = keyed(distinct.select("fp"), parts, near, "t").withColumnRenamed("fp", "u")
-    pair = (F.col("u") < F.col("v")) & (differing(F.col("u"), F.col("v")) <= radius) & first_found(F.col("u"), F.col("v"), "t_seg", parts, near)
-    on = ["t_seg", "t_key"]
-    table_rows = rows.join(hot, on, "left_anti") if some else rows
-    found = asks.join(table_rows, on).where(pair).select("u", "v")
-    if not some:
-        return found
+    hits = scratch.settle(asks.join(buckets, on).where((F.col("n") > 1) | (F.col("one") != u)), "hits")
+    first = scratch.settle(hits.where((u != F.col("one")) & (differing(u, F.col("one")) <= radius)).select("u", F.col("one").alias("v")).distinct(), "first")
+    labels = components(first, scratch).select(F.col("node").alias("fp"), "root")
+
+    def labelled(df: DataFrame, name: str) -> DataFrame:
+        return df.join(labels.withColumnsRenamed({"fp": name, "root": f"{name}_root"}), name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
+
+    shared = scratch.settle(labelled(rows.join(buckets.where("n > 1").select(*on, "n"), on), "v"), "shared")
+    ranges = shared.groupBy(*on).agg(F.min("v_root").alias("low"), F.max("v_root").alias("high"))
+    open_asks = labelled(hits.where("n > 1").select("u", *on), "u").join(ranges, on)
+    open_asks = scratch.settle(open_asks.where((F.col("low") != F.col("u_root")) | (F.col("high") != F.col("u_root"))).select("u", "u_root", *on), "asks")
+    pair = (F.col("u_root") < F.col("v_root")) & (differing(u, v) <= radius)
+    found = [open_asks.join(shared.where(F.col("n") <= HOT), on).where(pair)]
     # Second level: what is left of the distance lies in the other bits, which are cut in two.
-    for k, part in enumerate(parts):
-        others = [p for j, p in enumerate(parts) if j != k]
-        finer = [q for p in others for q in cut(2, *p)]
-        deep = radius // len(finer)
-        mine = lambda df: df.where(F.col("t_seg") == k).join(hot, on, "left_semi")  # noqa: B023, E731
-        inner_rows = keyed(mine(rows).withColumnRenamed("v", "fp"), finer, 0, "s").withColumnRenamed("fp", "v")
-        inner_asks = keyed(mine(asks).withColumnRenamed("u", "fp"), finer, deep, "s").withColumnRenamed("fp", "u")
-        once = pair & first_found(F.col("u"), F.col("v"), "s_seg", finer, deep)
-        found = found.unionByName(inner_asks.join(inner_rows, [*on, "s_seg", "s_key"]).where(once).select("u", "v"))
-    return found
+    for k in range(len(parts)):
+        finer = [q for j, p in enumerate(parts) if j != k for q in cut(2, *p)]
+        inner_rows = keyed(shared.where((F.col("n") > HOT) & (F.col("t_seg") == k)).withColumnRenamed("v", "fp"), finer, 0, "s").withColumnRenamed("fp", "v")
+        inner_asks = keyed(open_asks.where(F.col("t_seg") == k).withColumnRenamed("u", "fp"), finer, radius // len(finer), "s").withColumnRenamed("fp", "u")
+        found.append(inner_asks.join(inner_rows, [*on, "s_seg", "s_key"]).where(pair))
+    rest = reduce(DataFrame.unionByName, [f.select("u_root", "v_root", "u", "v") for f in found])
+    one = rest.groupBy("u_root", "v_root").agg(F.min(F.struct("u", "v")).alias("one")).select("one.u", "one.v")
+    return first.unionByName(scratch.settle(one, "rest"))
 
 
 def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fp, component_id for rows doc_id, fp: the smallest doc_id that links of fingerprints reach."""
+    scratch = Scratch(prints.sparkSession)
     distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct, radius), Scratch(prints.sparkSession)).withColumnRenamed("node", "fp")
+    roots = settle(components(links(distinct, scratch, radius), scratch), "roots").withColumnRenamed("node", "fp")
+    scratch.clear()
     placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return placed.join(names, "root").select("fp", "component_id")
