@@ -53,14 +53,29 @@ def test_archive_stores_payloads_once_and_gives_records_back(spark, tmp_path):
     assert spark.read.parquet(f"{folder}/payloads").count() == 5
     warc.export_warc(spark, folder, f"{folder}/files")
     read = warc.parse_warc(spark, f"{folder}/files").collect()
-    assert len(read) == len(WEB)
-    blocks = {r["header"].split("urn:page:")[1].split(">")[0]: r["block"].decode() for r in read if "WARC-Type: response" in r["header"]}
+    assert len(read) == len(WEB) and not any(r["error"] for r in read)
+    blocks = {r["header"].split("urn:page:")[1].split(":")[0]: r["block"].decode() for r in read if "WARC-Type: response" in r["header"]}
     assert blocks["7"] == warc.HTTP + "é" * 70_000 and blocks["8"] == warc.HTTP + "a\r\n\r\nb"
 
 def test_archive_of_large_payloads_only_has_no_small_revisits(spark, tmp_path):
     warc.write_archive(spark.createDataFrame(WEB, PAGES), f"{tmp_path}/big", min_bytes=5)
     assert {r["record_type"] for r in warc.read_archive(spark, f"{tmp_path}/big").collect()} == {"response"}
 
+def test_urls_and_record_ids_are_exact(spark, tmp_path):
+    urls = ["http://a/x y", "http://a/x%20y", "http://a/x\ty", "a\r\nWARC-Type: x", "\x00\x7f", "", None]
+    rows = [(k, u, "p") for k, u in enumerate(urls)] + [(9, "r", "q")] * 3
+    warc.write_archive(spark.createDataFrame(rows, PAGES), f"{tmp_path}/a")
+    read = warc.described(warc.read_records(spark, f"{tmp_path}/a")).collect()
+    assert sorted(((r["page_id"], r["url"]) for r in read), key=repr) == sorted(((i, u) for i, u, _ in rows), key=repr)
+    assert len({r["id"] for r in read}) == len(rows) and {r["refers"] for r in read} - {None} <= {r["id"] for r in read if r["kind"] == "response"}
+
+def test_files_with_bad_records(spark, tmp_path):
+    good = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "x.warc").write_bytes(good + b"WARC/1.0\r\nWARC-Type: x\r\n\r\nno length\r\n\r\n" + good + b"junk" + b"\r\n\r\n\r\n" + good + b"WARC/1.0\r\nContent-Length: 99\r\n\r\ncut")
+    read = [tuple(r)[1:] for r in warc.parse_warc(spark, str(tmp_path / "x.warc")).collect()]
+    assert [None if b is None else bytes(b) for b, _ in read] == [b"abc", None, b"abc", None, b"abc", None]
+    assert [e and e.split(" at ")[0] for _, e in read] == [None, "no length", None, "no version line", None, "cut off"]
+
 def test_mix_against_sql(spark, put, clashing):
     folder = put(documents=clashing)
     same(mixing.op5_source_mix, mixing.OP5_SQL, folder, spark)

@@ -22,6 +22,9 @@ BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 #: Rows of a table of a few numbers up to which it is broadcast: some 50 MB.
 FEW = 1_000_000
 
+#: The part of all rows, as 1/HUBS, from which on a key is joined apart.
+HUBS = 64
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -74,6 +77,16 @@ def if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, count: int) -> DataFrame:
+    """rows joined with a table that has one row per key and, as n, how many of the count rows have it.
+
+    Keys with more than 1/HUBS of the rows, which are HUBS at most, are joined by broadcasting, so that no key's rows meet in one task.
+    """
+    hubs = F.broadcast(unique.where(F.col("n") * HUBS > count).drop("n"))
+    light = rows.join(hubs.select(key), key, "left_anti").join(unique.where(F.col("n") * HUBS <= count).drop("n"), key)
+    return light.unionByName(rows.join(hubs, key))
+
+
 class Scratch:
     """Tables of one computation, removed once it is over."""
 

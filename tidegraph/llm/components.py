@@ -11,29 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import Scratch
-
-
-HUBS = 64
-
-
-def _with_least(rows: DataFrame, least: DataFrame, count: int) -> DataFrame:
-    """rows u, v with the m of their u in least (u, m, n); count: how many rows n counts in all."""
-    hubs = F.broadcast(least.where(F.col("n") * HUBS > count).select("u", "m"))  # HUBS rows at most
-    light = rows.join(hubs, "u", "left_anti").join(least.where(F.col("n") * HUBS <= count).select("u", "m"), "u")
-    return light.unionByName(rows.join(hubs, "u"))
+from .common import Scratch, join_unique
 
 
 def _large(edges: DataFrame, count: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
-    return _with_least(both.where("v > u"), least, 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return join_unique(both.where("v > u"), least, "u", 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame, count: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    return _with_least(down, least, count).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    return join_unique(down, least, "u", count).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def _settle(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple]:
