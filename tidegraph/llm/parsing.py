@@ -3,15 +3,20 @@
 A level parses a sequence of names into phrases: runs of one name are merged, deterministic coin tossing (the lowest bit in
 which a name differs from its left neighbour, four times over) leaves labels below six with no two equal neighbours, and a
 phrase starts at each local maximum of the labels. A phrase's name is a hash of the names in it, so that equal substrings
-get equal names away from their edges, wherever they stand. The first level parses code points. The fingerprint is the KEEP
-smallest names (32 bits) of LEVELS, and likeness is the share of names that two fingerprints have in common.
+get equal names away from their edges, wherever they stand. The first level parses code points; levels are built until a text is
+one phrase, its top.
+
+The fingerprint has, for each level from FIRST to the top, how many names it has and the smallest of them (32 bits; second and
+later occurrences count as names of their own): KEEP, or one in RATE if that is more, so that a long text has the more names and a
+passage that two long texts share stays visible. Likeness is the share of names in common of both texts' names on all levels
+together, estimated on each level from the names below the smaller of the two bounds.
 
 All texts of a batch are parsed at once as one array; texts above CHARS code points in sum are taken in turn.
 
 Edge cases: null text: empty; the empty text has the empty fingerprint, like itself (1.0) and unlike all others. Texts of one
-code point are one phrase. Documents are ordered by descending doc_id, null last, ties by text; repeated rows follow each other.
-A single document is its own next. An empty table gives no rows; further columns are ignored; very long texts are
-parsed whole.
+code point are one phrase. Documents are ordered by descending doc_id, null last, rows of one id by their place in the table; repeated
+rows follow each other. A single document is its own next. An empty table gives no rows; further columns are ignored; very
+long texts are parsed whole.
 """
 
 from __future__ import annotations
@@ -21,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.shipping import ship_by_value
-from .common import limit_batches, table, text_column
+from .common import limit_batches, map_batches, settle, table, text_column
 
-LEVELS, KEEP, CHARS = (2, 3), 48, 1 << 20
+FIRST, KEEP, RATE, CHARS = 2, 48, 64, 1 << 20
 A, B, C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,9 +81,9 @@ def parse(names: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix(sums ^ lengths.astype(np.uint64)), np.searchsorted(cuts, starts)
 
 
-def sketches(texts: list[str]) -> list[np.ndarray]:
-    """The fingerprint of each text, as sorted numbers."""
-    out: list[np.ndarray] = [np.zeros(0, ">u4")] * len(texts)
+def sketches(texts: list[str]) -> list[list[tuple[int, np.ndarray]]]:
+    """The fingerprint of each text: of each level its number of names and the smallest ones, sorted."""
+    out: list[list[tuple[int, np.ndarray]]] = [[] for _ in texts]
     some, total = [], 0
     for k, text in enumerate(texts):
         if not text:
@@ -91,41 +98,55 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _sketch(texts: list[str], some: list[int], out: list[np.ndarray]) -> None:
+def _sketch(texts: list[str], some: list[int], out: list[list[tuple[int, np.ndarray]]]) -> None:
     names = np.frombuffer("".join([texts[k] for k in some]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     sizes = np.array([len(texts[k]) for k in some])
     starts = np.cumsum(sizes) - sizes
-    found = []
-    for level in range(1, max(LEVELS) + 1):
+    who = np.array(some)
+    level = 0
+    while len(who):
         names, starts = parse(names, starts)
-        if level in LEVELS:
-            owner = np.repeat(np.arange(len(some), dtype=np.uint64), np.diff(starts, append=len(names)))
-            found.append(owner << np.uint64(32) | names >> np.uint64(32))
-    keys = np.sort(np.concatenate(found))
-    # The second and later occurrences of a name in a text count as names of their own.
+        level += 1
+        counts = np.diff(starts, append=len(names))
+        if level >= FIRST:
+            keys = distinct_names(names, np.repeat(np.arange(len(who), dtype=np.uint64), counts))
+            edges = np.searchsorted(keys, np.arange(len(who) + 1, dtype=np.uint64) << np.uint64(32)).tolist()
+            least = (keys & np.uint64(0xFFFFFFFF)).astype(">u4")
+            for k, a, b in zip(who.tolist(), edges, edges[1:], strict=False):
+                out[k].append((b - a, least[a : min(b, a + max(KEEP, (b - a) // RATE))]))
+        more = counts > 1
+        if level >= FIRST and not more.all():
+            # Texts that are one phrase are done.
+            who, kept = who[more], np.repeat(more, counts)
+            names, starts = names[kept], np.cumsum(counts[more]) - counts[more]
+
+
+def distinct_names(names: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Sorted owner << 32 | name, the second and later occurrences of a name in a text counting as names of their own."""
+    keys = np.sort(owner << np.uint64(32) | names >> np.uint64(32))
     again = np.arange(len(keys)) - np.maximum.accumulate(np.where(np.diff(keys, prepend=keys[:1] ^ np.uint64(1)) != 0, np.arange(len(keys)), 0))
     more = again > 0
     low = np.uint64(0xFFFFFFFF)
     keys[more] = (keys[more] & ~low) | (mix((keys[more] & low) + again[more].astype(np.uint64) * C) >> np.uint64(32))
-    keys = np.unique(keys)
-    edges = np.searchsorted(keys, np.arange(len(some) + 1, dtype=np.uint64) << np.uint64(32))
-    names = (keys & low).astype(">u4")
-    for k, a, b in zip(some, edges, edges[1:], strict=False):
-        out[k] = names[a : min(b, a + KEEP)]
+    return np.unique(keys)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of names in common (of both sets' sizes together), from the smallest names of their union."""
-    if not len(a) or not len(b):
+def likeness(a: list[tuple[int, np.ndarray]], b: list[tuple[int, np.ndarray]]) -> float:
+    """The share of names in common, of both fingerprints' numbers of names together."""
+    if not a or not b:
         return float(len(a) == len(b))
-    x, y = set(a.tolist()), set(b.tolist())
-    least = sorted(x | y)[:KEEP]
-    j = sum(k in x and k in y for k in least) / len(least)
-    return 2 * j / (1 + j)
+    common = 0.0
+    for (n, x), (m, y) in zip(a, b, strict=False):
+        bound = min(int(z[-1]) if len(z) < count else 1 << 32 for count, z in ((n, x), (m, y)))
+        p, q = set(x[x <= bound].tolist()), set(y[y <= bound].tolist())
+        j = len(p & q) / max(1, len(p | q))
+        common += min(n, m, (n + m) * j / (1 + j))
+    return 2 * common / (sum(n for n, _ in a) + sum(m for m, _ in b))
 
 
-def hexed(sketch: np.ndarray) -> str:
-    return sketch.tobytes().hex()
+def hexed(sketch: list[tuple[int, np.ndarray]]) -> str:
+    """Levels joined by dots: number of names, colon, the names kept."""
+    return ".".join(f"{n:x}:{names.tobytes().hex()}" for n, names in sketch)
 
 
 def edit(text: str, following: str) -> str:
@@ -134,81 +155,72 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def buckets(ids: DataFrame, count: int) -> list[int]:
-    """Bounds of about equally filled ranges of ids."""
-    shares = [k / count for k in range(1, count)]
-    found = ids.agg(F.percentile_approx("doc_id", shares, 10 * count).alias("b")).first()["b"] if shares else None
-    return sorted(set(found or []))
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows bucket, lent, doc_id, text and how many buckets there may be: each bucket's rows, and after them, lent, the first rows of the bucket that follows.
+def answer(ids: list, texts: list[str]) -> list[pa.Array]:
+    """Columns of SCHEMA for all texts but the last, each followed by the next."""
+    edited = [edit(a, b) for a, b in zip(texts, texts[1:], strict=False)]
+    marks, changed = sketches(texts), sketches(edited)
+    columns = (
+        ids[: len(edited)],
+        [len(t) for t in texts[:-1]],
+        [hashlib.sha256(t.encode()).hexdigest() for t in edited],
+        [hexed(m) for m in marks[:-1]],
+        [hexed(m) for m in changed],
+        [likeness(a, b) for a, b in zip(marks, changed, strict=False)],
+        [likeness(a, b) for a, b in zip(marks, marks[1:], strict=False)],
+    )
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    return [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
 
-    Only ids are read to find the bounds of buckets and their first rows, some numbers per bucket; texts are shuffled once.
-    """
-    spark = docs.sparkSession
-    bounds = buckets(docs.select("doc_id"), max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    # Bucket 0 has the largest ids; nulls follow the least.
-    place = lambda c: F.when(c.isNull(), len(bounds) + 1).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b >= c)))
-    heads = docs.groupBy(place(F.col("doc_id")).alias("bucket")).agg(F.max("doc_id").alias("doc_id")).collect()
-    order = sorted((r["bucket"], r["doc_id"]) for r in heads)
-    borrower = {head: order[k - 1][0] for k, (_, head) in enumerate(order)}
-    known = [k for k in borrower if k is not None]
-    extra = F.when(F.col("doc_id").isin(known), F.element_at(F.create_map(*[F.lit(x) for k in known for x in (k, borrower[k])]), F.col("doc_id"))) if known else F.lit(None).cast("int")
-    if None in borrower:
-        extra = F.when(F.col("doc_id").isNull(), borrower[None]).otherwise(extra)
-    own = F.struct(place(F.col("doc_id")).cast("int").alias("bucket"), F.lit(False).alias("lent"))
-    rows = F.when(extra.isNull(), F.array(own)).otherwise(F.array(own, F.struct(extra.cast("int").alias("bucket"), F.lit(True).alias("lent"))))
-    return docs.select("doc_id", "text", F.inline(rows)).select("bucket", "lent", "doc_id", "text"), len(bounds) + 2
+
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 def compare_next(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for doc_id, text."""
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def answer(ids: list, texts: list[str], following: str | None) -> pa.RecordBatch:
-        """Rows for all texts, of which each is followed by the next and the last by following; without it the last only follows."""
-        nexts = texts[1:] + ([following] if following is not None else [])
-        n = len(nexts)
-        edited = [edit(a, b) for a, b in zip(texts, nexts, strict=False)]
-        marks = sketches(texts + ([following] if following is not None else []))
-        changed = sketches(edited)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids[:n], pa.int64()),
-                pa.array([len(t) for t in texts[:n]], pa.int64()),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-                pa.array([hexed(m) for m in marks[:n]], pa.string()),
-                pa.array([hexed(m) for m in changed], pa.string()),
-                pa.array([likeness(a, b) for a, b in zip(marks, changed, strict=False)], pa.float64()),
-                pa.array([likeness(a, b) for a, b in zip(marks, marks[1:], strict=False)], pa.float64()),
-            ],
-            names,
-        )
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for doc_id, text.
+
+    Documents are dealt to ranges of ids, rows of one id or none by their place too, so that they may be split. Each range
+    answers for its rows but the last, whose next is the first of the following range: of these two rows of each range a small
+    second step makes the rest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the last row of its own bucket that still waits for the next
+        part, held = TaskContext.get().partitionId(), None
+        empty = lambda n: [pa.nulls(n, k.type) for k in answer([], [""])]
+        ends = lambda ids, texts, first: pa.RecordBatch.from_arrays([*empty(len(ids)), pa.array([part] * len(ids), pa.int32()), pa.array(first, pa.bool_()), pa.array(ids, pa.int64()), pa.array(texts, pa.string())], [*NAMES, "part", "first", "id", "text"])
         for batch in batches:
-            ids, texts = [], []
-            for bucket, lent, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if held is not None and held[0] == bucket:
-                    ids.append(held[1])
-                    texts.append(held[2])
-                if lent:
-                    if held is not None:  # else another lent row has answered
-                        yield answer(ids, texts, text)
-                        ids, texts, held = [], [], None
-                    continue
-                held = (bucket, doc_id, text)
-            if ids:
-                yield answer(ids, texts, held[2])
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if not ids:
+                continue
+            if held is None:
+                yield ends(ids[:1], texts[:1], [True])
+            else:
+                ids, texts = [held[0], *ids], [held[1], *texts]
+            held = ids[-1], texts[-1]
+            if len(ids) > 1:
+                made = answer(ids, texts)
+                n = len(ids) - 1
+                yield pa.RecordBatch.from_arrays([*made, pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], [*NAMES, "part", "first", "id", "text"])
+        if held is not None:
+            yield ends([held[0]], [held[1]], [False])
+
+    def last(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [answer([i], [a, b]) for i, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*rows, strict=True)], NAMES)
 
     ship_by_value()
     limit_batches(docs.sparkSession)
-    rows, count = with_next(docs)
-    sorted_rows = rows.repartitionById(count, "bucket").sortWithinPartitions("bucket", "lent", F.col("doc_id").desc_nulls_last(), "text")
-    return sorted_rows.mapInArrow(run, schema)
+    count = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("place")]
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place")).repartitionByRange(count, *order).sortWithinPartitions(*order)
+    done = settle(rows.select("doc_id", "text").mapInArrow(run, f"{SCHEMA}, part int, first boolean, id long, text string"), "phrases")
+    # Two rows of each range; they are ordered by numbers only, texts are joined to them.
+    firsts, lasts = done.where("first").select("part", F.col("text").alias("next")), done.where("NOT first").select("part", "id", "text")
+    order = firsts.select("part", F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy())).alias("before"))
+    open_rows = lasts.join(order.select(F.col("part").alias("following"), F.col("before").alias("part")), "part").join(firsts.withColumnRenamed("part", "following"), "following")
+    return done.where("part IS NULL").select(*NAMES).unionByName(map_batches(open_rows.select("id", "text", "next"), last, SCHEMA))
 
 
 def op3_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
