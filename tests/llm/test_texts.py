@@ -14,7 +14,7 @@ import pytest
 from llm_helpers import DOCS, edited, prose, rows_of
 from pyspark.sql import functions as F
 
-from tidegraph.llm import media, neardup, parsing, pieces, quality, secrets, simhash
+from tidegraph.llm import common, media, neardup, parsing, pieces, quality, secrets, simhash
 from tidegraph.llm.common import Scratch
 from tidegraph.llm.components import components
 
@@ -83,7 +83,9 @@ def test_links_connect_what_all_pairs_connect(spark, monkeypatch, hot):
     assert same(links) == same(near)
 
 
-def test_components_of_chains_hubs_and_loops(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_components_of_chains_hubs_and_loops(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW", few)
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(300)] + [(7, 7), (700, 600), (600, 700)]
     found = dict(rows_of(components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark)), ["node", "root"]))
     assert found == joined([e for e in edges])

@@ -19,8 +19,8 @@ from ..functions.shipping import ship_by_value
 #: Rows and bytes of one Arrow batch. Texts may be very long, so that a worker holds few of them at once.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
-#: Rows of a table of a few numbers up to which it is broadcast: some 50 MB.
-FEW = 1_000_000
+#: Rows of a table of a few numbers up to which it is broadcast, or may lie in one task as a whole: some 10 MB.
+FEW = 200_000
 
 #: The part of all rows, as 1/HUBS, from which on a key is joined apart.
 HUBS = 64
@@ -80,8 +80,11 @@ def if_small(df: DataFrame) -> DataFrame:
 def join_unique(rows: DataFrame, unique: DataFrame, key: str, count: int) -> DataFrame:
     """rows joined with a table that has one row per key and, as n, how many of the count rows have it.
 
-    Keys with more than 1/HUBS of the rows, which are HUBS at most, are joined by broadcasting, so that no key's rows meet in one task.
+    Keys with more than 1/HUBS of the rows, which are HUBS at most, are joined by broadcasting, so that no key's rows meet in one
+    task. Of FEW rows in all there is nothing to spread.
     """
+    if count <= FEW:
+        return rows.join(unique.drop("n"), key)
     hubs = F.broadcast(unique.where(F.col("n") * HUBS > count).drop("n"))
     light = rows.join(hubs.select(key), key, "left_anti").join(unique.where(F.col("n") * HUBS <= count).drop("n"), key)
     return light.unionByName(rows.join(hubs, key))
