@@ -102,6 +102,10 @@ class Scratch:
         self.paths.append(path)
         return made
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of jobs that are over: it does so when the driver collects its garbage."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def clear(self) -> None:
         for path in self.paths:
             remove(self.spark, path)
