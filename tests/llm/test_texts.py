@@ -660,9 +660,9 @@ def test_a_library_that_differs_is_noticed(monkeypatch):
     model = pieces.read_model()
     own, lib = pieces.prepared(model)
     monkeypatch.setattr(own, "segment_ids", lambda s: [7])
-    own.known.clear()
+    own.forget()
     assert [same for _, _, same in pieces.encode_batch(["something new here"], model)] == [False]
-    own.known.clear()
+    own.forget()
 
 
 def test_a_wrong_segment_neither_stays_nor_is_returned(monkeypatch):
@@ -670,7 +670,7 @@ def test_a_wrong_segment_neither_stays_nor_is_returned(monkeypatch):
     own, lib = pieces.prepared(model)
     texts = ["something old here", "here"]
     wanted = lib.encode(texts, add_eos=True)
-    own.known.clear()
+    own.forget()
     with monkeypatch.context() as wrong:
         wrong.setattr(own, "segment_ids", lambda s: [7])
         assert [(ids, same) for ids, _, same in pieces.encode_batch(texts, model)] == [(ids, False) for ids in wanted]
@@ -681,7 +681,7 @@ def test_texts_cut_wrongly_are_noticed(monkeypatch):
     """Each segment alone has the library's ids, but not the text that they were cut from."""
     model = pieces.read_model()
     own, _ = pieces.prepared(model)
-    own.known.clear()
+    own.forget()
     monkeypatch.setattr(own, "_segments", lambda text: ["\u2581some", "\u2581thing"])
     assert [same for _, _, same in pieces.encode_batch(["something"], model)] == [False]
-    own.known.clear()
+    own.forget()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import sys
 import types
 import uuid
@@ -42,12 +43,21 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
         for batch in batches:
             if batch.num_rows:
                 yield function(batch)
+        give_back()
 
     ship_by_value()
     limit_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are used again by later stages, with others beside them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def limit_batches(spark: SparkSession) -> None:
     """Sets the session's limits of Arrow batches to ours. Plans read them when they are executed, so that they stay."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

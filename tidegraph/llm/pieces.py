@@ -28,8 +28,8 @@ from .common import map_batches, table, text_column, worker_state
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-#: Segments that a worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+#: Segments that a worker remembers, in two generations: what the older one has and isn't asked for again goes.
+REMEMBERED = 200_000
 #: Symbols of a segment up to which the agenda is scanned.
 SHORT = 32
 NONE = float("-inf")
@@ -100,6 +100,7 @@ class Vocabulary:
         inner = f"[^{MARK}{re.escape(alone)}]" if alone else f"[^{MARK}]"
         self.segments = re.compile(f"{MARK}*{inner}+|{MARK}+" + (f"|[{re.escape(alone)}]" if alone else "") if cuts else "(?s).+")
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         #: How pieces read; None where neighbours decide.
         self.spoken = [self._spoken(k) for k in range(len(self.pieces))]
 
@@ -122,6 +123,10 @@ class Vocabulary:
         elif kind == UNKNOWN:
             self.unknown = number
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.older.clear()
+
     def merge(self, text: str) -> list[str]:
         """The symbols of a segment once no two neighbours form a piece."""
         return self._merge_short(list(text)) if len(text) <= SHORT else self._merge_long(list(text))
@@ -179,9 +184,10 @@ class Vocabulary:
         for segment in self._segments(text):
             found = known.get(segment)
             if found is None:
-                found = self.segment_ids(segment)
+                found = self.older.get(segment) or self.segment_ids(segment)
                 if len(segment) <= 64:
-                    if len(known) >= REMEMBERED:
+                    if len(known) >= REMEMBERED // 2:
+                        self.older = known.copy()
                         known.clear()
                     known[segment] = found
             ids += found
@@ -273,7 +279,7 @@ def encode_batch(texts: list[str], model: bytes) -> list[tuple[list[int], str, b
     ids = [own.encode(text) for text in texts]
     theirs = lib.encode(texts, num_threads=1, add_eos=True)
     if ids != theirs:
-        own.known.clear()
+        own.forget()
     decoded = lib.decode(theirs)
     return [(b, d, a == b and own.decode(a) == d) for a, b, d in zip(ids, theirs, decoded, strict=True)]
 
