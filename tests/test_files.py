@@ -1,13 +1,16 @@
 """Edge lists, results and streams of text."""
 
+import shutil
 import subprocess
 import sys
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
 from tidegraph import Graph, load_edge_list, write_partitioned, write_result
 from tidegraph.__main__ import main
+from tidegraph.functions.shared import shared_folder
 from tidegraph.sources.edge_list import HeaderMismatch, parts_of, read_headers
 from tidegraph.streaming.edges import running_out_degree, stream_edges
 
@@ -81,7 +84,51 @@ def test_edges_arrive_as_a_stream(spark, tmp_path):
         query.stop()
 
 
+PROGRAM = """
+from pyspark.sql import functions as F
+from tidegraph import Step, VertexProgram
+
+class Constant(VertexProgram):
+    def __init__(self, value):
+        self.value = float(value)
+
+    def compute(self, ctx):
+        return Step(value=F.lit(self.value), halt=True)
+"""
+
+
+def test_all_programs_from_the_command_line(spark, tmp_path, monkeypatch):
+    put(tmp_path / "g_1", "2\n2\n0 1\n2 3\n")
+    put(tmp_path / "g_2", "2\n1\n1 0\n")
+    put(tmp_path / "mine.py", PROGRAM)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    wanted = {
+        ("bfs", "--source", "0"): ["0: 0.000000", "1: 1.000000", "2: Infinity", "3: Infinity"],
+        ("components",): ["0: 0", "1: 0", "2: 2", "3: 2"],
+        ("max",): ["0: 1", "1: 1", "2: 2", "3: 3"],
+        ("labels", "--rounds", "1"): ["0: 1", "1: 0", "2: 2", "3: 2"],
+        ("in-degree",): ["0: 1.000000", "1: 1.000000", "2: 0.000000", "3: 1.000000"],
+        ("run", "mine:Constant", "--args", "2.5"): [f"{k}: 2.500000" for k in range(4)],
+    }
+    for k, (command, lines) in enumerate(wanted.items()):
+        assert main([*command, "--input", f"file://{tmp_path}/g_[0-9]*", "--output", f"{tmp_path}/out{k}", "--parts", "2", "--prefix"]) == 0
+        assert sorted(r["value"] for r in spark.read.text(parts_of(f"{tmp_path}/out{k}")).collect()) == lines
+    assert main(["partition", "--input", f"{tmp_path}/g_1", f"{tmp_path}/g_2", "--output", f"file://{tmp_path}/p", "--parts", "3", "--prefix"]) == 0
+    assert pairs(load_edge_list(spark, parts_of(f"file://{tmp_path}/p"))) == [(0, 1, 0.0), (1, 0, 0.0), (2, 3, 0.0)]
+    with pytest.raises(FileExistsError):
+        main(["partition", "--input", f"{tmp_path}/g_1", f"{tmp_path}/g_2", "--output", f"file://{tmp_path}/p", "--parts", "3", "--prefix"])
+
+
+def test_a_cluster_needs_a_shared_folder():
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context))
+
+
 def test_the_rest_imports_without_the_llm_folders(tmp_path):
     root = Path(__file__).resolve().parent.parent
-    code = "import sys; sys.modules['tidegraph.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert len(e.queries()) > 40 and not any(k.startswith('op') for k in e.queries())"
-    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+    for name in ("tidegraph", "tests"):
+        shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e, tidegraph; q = e.queries(); assert len(q) > 40 and q.keys() == e.oracle_sql().keys() and not any(k.startswith('op') for k in q) and tidegraph.__file__.startswith(%r)" % str(tmp_path)
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)

@@ -1,6 +1,5 @@
 """Every registered query of the engine against its SQL."""
 
-import os
 from pathlib import Path
 
 import duckdb
@@ -25,7 +24,7 @@ def duck():
 
 
 @pytest.mark.skipif(not SF_DIR.exists(), reason="the test tables aren't here")
-@pytest.mark.parametrize("name", sorted(QUERIES) if os.environ.get("ALL_QUERIES") else sorted(k for k in QUERIES if not k.startswith("pagerank") or k in ("pagerank_1step", "pagerank_sinks")))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_gives_what_its_sql_gives(spark, duck, name):
     frame = QUERIES[name](spark, str(SF_DIR))
     columns = sorted(frame.columns)

@@ -221,3 +221,89 @@ def test_results_do_not_depend_on_partitions_or_row_order(spark):
     rng.shuffle(shuffled)
     a = values(bfs(graph(spark, edges, 20), 0, partitions=1))
     assert a == values(bfs(graph(spark, shuffled, 20), 0, partitions=7))
+
+
+def exchanges(plan) -> list[str]:
+    """Shuffles of a physical plan, without those of what it reads from memory."""
+    found = [plan.nodeName()] if plan.nodeName() == "Exchange" else []
+    inner = plan.children()
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return exchanges(plan.initialPlan())
+    return found + [x for k in range(inner.size()) for x in exchanges(inner.apply(k))]
+
+
+def test_a_superstep_shuffles_its_messages_only(spark):
+    from tidegraph.operators.pagerank import PageRank
+    from tidegraph.plans import superstep
+
+    edges = spark.range(2000).select((F.col("id") % 97).alias("src"), (F.col("id") % 89).alias("dst"))
+    graph = Graph.dense(edges, 100)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        degrees = graph.out_degrees()
+        made = superstep._Columns(graph, PageRank(), graph.edges, degrees, count)
+        state = graph.initial_state(degrees).repartition(count, "id").persist()
+        first = made.superstep(state, None, 0, {"change": 0.0}).persist()
+        first.count()
+        second = made.superstep(first, made.messages(first), 1, {"change": 0.0})
+        assert exchanges(second._jdf.queryExecution().executedPlan()) == ["Exchange"]
+        made.clear()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_out_edges_of_a_hub_are_spread(spark, monkeypatch):
+    from tidegraph.operators.traversal import in_degrees
+    from tidegraph.plans import superstep
+
+    monkeypatch.setattr(superstep, "PLAIN", 100)
+    star = spark.range(1, 20_000).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    graph = Graph.dense(star.union(spark.createDataFrame([(5, 6)], "src long, dst long")), 20_000)
+    made = superstep._Columns(graph, superstep.VertexProgram(), graph.edges, graph.out_degrees(), 4)
+    sizes = [r["count"] for r in made.heavy.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 6000 and made.light.count() == 1
+    made.clear()
+    found = {r["id"]: r["value"] for r in in_degrees(graph).vertices.collect()}
+    assert found == {k: 0.0 if k == 0 else 2.0 if k == 6 else 1.0 for k in range(20_000)}
+
+
+def test_ids_beyond_doubles_stay_apart(spark):
+    from tidegraph.operators.traversal import label_propagation, propagate_most, weak_components
+
+    big = 2**53
+    ids = [big, big + 1, big + 2, big + 3]
+    vertices = spark.createDataFrame([(i, i) for i in ids], "id long, value long")
+    graph = Graph(vertices, spark.createDataFrame([(big, big + 2), (big + 1, big + 3)], "src long, dst long"))
+    values = lambda result: {r["id"]: r["value"] for r in result.vertices.collect()}
+    assert values(weak_components(graph)) == {big: big, big + 2: big, big + 1: big + 1, big + 3: big + 1}
+    assert values(propagate_most(graph)) == {i: i for i in ids}
+    assert values(label_propagation(graph, 1)) == {big: big, big + 2: big, big + 1: big + 1, big + 3: big + 1}
+
+
+def test_hooks_indexes_and_skips(spark):
+    from tidegraph import Step, VertexProgram, run, total
+
+    class Counted(VertexProgram):
+        combine = {"n": lambda src, value: F.count(value)}
+        aggregators = {"first": total(0.0), "second": total(0.0)}
+        ordered = True
+
+        def init(self, graph):
+            self.seen = ["init"]
+
+        def term(self, result):
+            self.seen.append(result.supersteps)
+
+        def compute(self, ctx):
+            if ctx.superstep == 0:
+                return Step(contribute={1: F.lit(1.0), "first": F.lit(2.0)}, message=lambda v, e: e.dst.cast("double"), skip=1)
+            self.seen.append((ctx.aggregate(0), ctx.aggregate(1), ctx.aggregate("second")))
+            return Step(value=F.coalesce(ctx.inbox("n"), F.lit(0)).cast("double"), halt=True)
+
+    edges = spark.createDataFrame([(0, 1), (0, 2), (0, 2), (1, 0)], "src long, dst long")
+    program = Counted()
+    done = run(Graph.dense(edges, 3), program)
+    assert program.seen == ["init", (6.0, 3.0, 3.0), 2] and done.report[0]["sent"] == 2 == done.report[1]["received"]
+    assert {r["id"]: r["value"] for r in done.vertices.collect()} == {0: 0.0, 1: 0.0, 2: 2.0}

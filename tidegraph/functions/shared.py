@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where that is unset (as in tests) a folder of our own."""
+    """spark.checkpoint.dir, or a folder set as the context's; where neither is there, in local mode alone, one of our own.
+
+    On a cluster a folder of the driver would be another one on each machine, so that it is an error there.
+    """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir (or --scratch) to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidegraph-"))
         folder = context.getCheckpointDir()
     return folder

@@ -31,15 +31,14 @@ class ShortestPaths(VertexProgram):
 class Propagation(VertexProgram):
     """Every vertex takes the least (or greatest) value that reaches it along out-edges."""
 
-    combine = {"least": lambda src, value: F.min(value), "most": lambda src, value: F.max(value)}
-
-    def __init__(self, most: bool = False):
-        self.most = most
+    def __init__(self, most: bool = False, message_type: str = "double"):
+        self.most, self.message_type = most, message_type
+        self.combine = {"found": (lambda src, value: F.max(value)) if most else (lambda src, value: F.min(value))}
 
     def compute(self, ctx: Context) -> Step:
         if ctx.superstep == 0:
             return Step(halt=True, message=lambda v, e: v.value)
-        new = F.greatest(ctx.value, ctx.inbox("most")) if self.most else F.least(ctx.value, ctx.inbox("least"))
+        new = (F.greatest if self.most else F.least)(ctx.value, ctx.inbox("found"))
         return Step(value=new, halt=True, send=new != ctx.value, message=lambda v, e: v.value)
 
 
@@ -57,8 +56,8 @@ class LabelPropagation(VertexProgram):
 
     combine = {"label": lambda src, value: F.mode(value, deterministic=True)}
 
-    def __init__(self, rounds: int):
-        self.rounds = rounds
+    def __init__(self, rounds: int, message_type: str = "double"):
+        self.rounds, self.message_type = rounds, message_type
 
     def compute(self, ctx: Context) -> Step:
         if ctx.superstep == 0:
@@ -67,9 +66,14 @@ class LabelPropagation(VertexProgram):
         return Step(value=F.coalesce(ctx.inbox("label"), ctx.value), halt=done, message=None if done else lambda v, e: v.value)
 
 
+def value_type(graph: Graph) -> str:
+    """The type of a graph's values, which messages that carry values keep."""
+    return graph.vertices.schema["value"].dataType.simpleString()
+
+
 def label_propagation(graph: Graph, rounds: int, **options) -> Result:
     """Labels after so many rounds; each vertex starts with its value."""
-    return run(graph, LabelPropagation(rounds), **options)
+    return run(graph, LabelPropagation(rounds, value_type(graph)), **options)
 
 
 def bfs(graph: Graph, source: int, max_supersteps: int | None = None, **options) -> Result:
@@ -83,12 +87,12 @@ def shortest_paths(graph: Graph, source: int, max_supersteps: int | None = None,
 def weak_components(graph: Graph, **options) -> Result:
     """The least id that a vertex is connected with, whichever way edges point."""
     both = graph.edges.unionByName(graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "value"))
-    numbered = graph.vertices.select("id", F.col("id").cast("double").alias("value"))
-    return run(Graph(numbered, both), Propagation(), **options)
+    numbered = graph.vertices.select("id", F.col("id").alias("value"))
+    return run(Graph(numbered, both), Propagation(message_type="bigint"), **options)
 
 
 def propagate_most(graph: Graph, max_supersteps: int | None = None, **options) -> Result:
-    return run(graph, Propagation(most=True), max_supersteps, **options)
+    return run(graph, Propagation(most=True, message_type=value_type(graph)), max_supersteps, **options)
 
 
 def in_degrees(graph: Graph, **options) -> Result:

@@ -30,16 +30,18 @@ class Graph:
     @classmethod
     def dense(cls, edges: DataFrame, count: int, init: Any = 0.0, zero: Any = 0.0) -> Graph:
         """Vertices 0..count-1. Those with out-edges start with init, the others with zero, as loaders that follow the edges leave them."""
+        if not isinstance(init, Column) and not isinstance(zero, Column) and init == zero:
+            return cls(edges.sparkSession.range(count).select("id", F.lit(init).alias("value")), edges)
         return cls(dense_vertices(edges, count, init, zero).select("id", "value"), edges)
 
     def out_degrees(self) -> DataFrame:
         """id, out_degree of the vertices that have out-edges."""
         return self.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))
 
-    def initial_state(self) -> DataFrame:
-        """id, active, out_degree, value: every vertex is active at first."""
+    def initial_state(self, degrees: DataFrame | None = None) -> DataFrame:
+        """id, active, out_degree, value: every vertex is active at first. degrees: what out_degrees() gives, if it is known."""
         degree = F.coalesce("out_degree", F.lit(0).cast("long")).alias("out_degree")
-        return self.vertices.join(self.out_degrees(), "id", "left").select("id", F.lit(True).alias("active"), degree, "value")
+        return self.vertices.join(self.out_degrees() if degrees is None else degrees, "id", "left").select("id", F.lit(True).alias("active"), degree, "value")
 
 
 def dense_vertices(edges: DataFrame, count: int, init: Any = 0.0, zero: Any = 0.0) -> DataFrame:

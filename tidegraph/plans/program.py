@@ -9,13 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from typing import Any
+from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.aggregators import Aggregator, FoldAggregator
 
+if TYPE_CHECKING:
+    from .graph import Graph
+    from .superstep import Result
+
 
 @dataclass
 class Step:
@@ -23,7 +27,9 @@ class Step:
 
     value: the new value (None: as it was). halt: whether to vote to halt. message: a function of the vertex's and the edge's
     row that gives the value sent along each out-edge (None: nothing is sent); send: which vertices send it. targets: an
-    array<struct<dst, value>> of further messages to any vertices. contribute: contributions to aggregators by name.
+    array<struct<dst, value>> of further messages to any vertices. skip: how many of a vertex's out-edges, in their order by dst and
+    value, message and send pass over (for programs with ordered = True). contribute: contributions to aggregators by
+    name or by index.
     """
 
     value: Column | None = None
@@ -31,7 +37,8 @@ class Step:
     message: Callable[[Row, Row], Column] | None = None
     send: Column | bool = True
     targets: Column | None = None
-    contribute: dict[str, Column] = field(default_factory=dict)
+    contribute: dict[str | int, Column] = field(default_factory=dict)
+    skip: Column | int | None = None
 
 
 class Row:
@@ -70,18 +77,35 @@ class Context:
         """How many messages have arrived."""
         return F.coalesce(F.col("received"), F.lit(0)).cast("long")
 
-    def aggregate(self, name: str) -> Any:
+    def aggregate(self, name: str | int) -> Any:
         """What the vertices contributed in the last superstep, a plain value."""
-        return self.globals[name]
+        return self.globals[named(self.globals, name)]
+
+
+def named(aggregators: dict[str, Any], name: str | int) -> str:
+    """An aggregator's name from its name or its index, which is its place in the program's aggregators."""
+    return list(aggregators)[name] if isinstance(name, int) else name
+
+
+class Hooks:
+    """What a program may do before its first superstep and after its last, on the driver."""
+
+    def init(self, graph: Graph) -> None:
+        """Before the first superstep."""
+
+    def term(self, result: Result) -> None:
+        """After the last superstep."""
 
 
-class VertexProgram:
+class VertexProgram(Hooks):
     """Subclasses give combine and aggregators, and compute()."""
 
     #: How an inbox is reduced: aggregate expressions by name, over the message's source and value.
     combine: dict[str, Callable[[Column, Column], Column]] = {}
     aggregators: dict[str, Aggregator | FoldAggregator] = {}
     message_type = "double"
+    #: Whether steps skip out-edges, so that they need an order; a vertex's edges are then sorted in one task.
+    ordered = False
 
     def compute(self, ctx: Context) -> Step:
         raise NotImplementedError
@@ -111,14 +135,14 @@ class Vertex:
         """The out-edges without the first k."""
         return iter(self.out_edges[k:])
 
-    def aggregate(self, name: str) -> Any:
-        return self._globals[name]
+    def aggregate(self, name: str | int) -> Any:
+        return self._globals[named(self._globals, name)]
 
-    def contribute(self, name: str, value: Any) -> None:
-        self.contributions.append((name, value))
+    def contribute(self, name: str | int, value: Any) -> None:
+        self.contributions.append((named(self._globals, name), value))
 
 
-class PandasVertexProgram:
+class PandasVertexProgram(Hooks):
     """compute(vertex) in Python, an Arrow batch of vertices at a time. Messages come with their source; their order is open."""
 
     aggregators: dict[str, FoldAggregator] = {}

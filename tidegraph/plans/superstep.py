@@ -1,9 +1,12 @@
-"""The superstep loop: each superstep is one DataFrame plan with one shuffle of messages.
-
-Edges are hash-partitioned by src and persisted once (lost parts are computed again), so that sending moves vertices to edges
-and never edges; Spark broadcasts the vertices instead where they are small on disk. Messages are combined before and after
-their one shuffle by destination. A superstep is one job: it writes the state to the shared folder, and its counters and
-aggregates are observed on the way. That cuts the lineage, and what is written outlives executors.
+"""The superstep loop: each superstep is one DataFrame plan with one shuffle, that of its messages.
+
+The edges are written to the shared folder once and dealt by src, the state by id to the same parts, and both are kept in memory
+(lost parts are computed again), so that neither the inbox's join nor that of senders and edges moves them; Spark broadcasts
+the senders instead where they are small. Sources with more than a fair part of all edges, which are few by that definition,
+are broadcast to their edges, which lie in all parts. Messages are combined before and after their shuffle by destination.
+Counters and aggregates of a superstep are one aggregate over its state, which computes it. Every CUT supersteps the state is
+written to the shared folder and dealt anew, as plans name their state twice and would double with each superstep; that bounds
+the lineage too, and what is written outlives executors.
 """
 
 from __future__ import annotations
@@ -11,18 +14,24 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.aggregators import FoldAggregator
 from ..functions.shared import remove, settle
 from ..functions.shipping import ship_by_value
 from .graph import Graph
-from .program import Context, PandasVertexProgram, Row, Step, Vertex, VertexProgram
+from .program import Context, PandasVertexProgram, Row, Step, Vertex, VertexProgram, named
+
+
+#: Supersteps after which the state is written; edges up to which no source counts as large.
+CUT, PLAIN = 2, 100_000
 
 
 class UndeliverableMessage(RuntimeError):
@@ -63,10 +72,12 @@ def run(
     """
     spark = graph.vertices.sparkSession
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = (_Python if isinstance(program, PandasVertexProgram) else _Columns)(graph, program, count)
-    edges = made.edges.persist(StorageLevel.MEMORY_AND_DISK)
-    edges.count()
-    state, path = settle(graph.initial_state(), "state")
+    program.init(graph)
+    raw, raw_path = settle(graph.edges, "edges")
+    degrees, degrees_path = settle(raw.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree")), "degrees")
+    made = (_Python if isinstance(program, PandasVertexProgram) else _Columns)(graph, program, raw, degrees, count)
+    state = graph.initial_state(degrees).repartition(count, "id").persist(StorageLevel.MEMORY_AND_DISK)
+    paths: list[str] = []
     messages: DataFrame | None = None
     known = {name: a.init for name, a in program.aggregators.items()}
     report: list[dict[str, int]] = []
@@ -74,12 +85,9 @@ def run(
     began = time.perf_counter()
     while True:
         step = len(report)
-        seen = Observation()
-        planned = made.superstep(state, messages, step, known)
-        state, written = settle(planned.observe(seen, *made.measures()), "state")
-        remove(spark, path)
-        path = written
-        row = seen.get
+        before, state = state, made.superstep(state, messages, step, known).persist(StorageLevel.MEMORY_AND_DISK)
+        row = state.agg(*made.measures()).first().asDict()
+        before.unpersist()
         counters = {c: int(row.get(c) or 0) for c in ("active", "computed", "received", "sent")}
         known = made.aggregates(row, state)
         counters["dropped"] = sent_before - counters["received"]
@@ -94,10 +102,24 @@ def run(
         if max_supersteps is not None and len(report) >= max_supersteps:
             stopped = "max_supersteps"
             break
-        messages = made.messages(state, edges)
+        if len(report) % CUT == 0:
+            before, (written, path) = state, settle(state, "state")
+            state = written.repartition(count, "id").persist(StorageLevel.MEMORY_AND_DISK)
+            state.count()
+            before.unpersist()
+            for old in paths:
+                remove(spark, old)
+            paths = [path]
+        messages = made.messages(state)
     seconds = time.perf_counter() - began
-    edges.unpersist()
-    return Result(state.select("id", "value", "active"), report, known, stopped, seconds)
+    vertices, _ = settle(state.select("id", "value", "active"), "vertices")
+    state.unpersist()
+    made.clear()
+    for old in (*paths, raw_path, degrees_path):
+        remove(spark, old)
+    result = Result(vertices, report, known, stopped, seconds)
+    program.term(result)
+    return result
 
 
 def _column(x: Column | bool) -> Column:
@@ -107,9 +129,20 @@ def _column(x: Column | bool) -> Column:
 class _Columns:
     """Supersteps of a program of column expressions."""
 
-    def __init__(self, graph: Graph, program: VertexProgram, count: int):
+    def __init__(self, graph: Graph, program: VertexProgram, edges: DataFrame, degrees: DataFrame, count: int):
         self.graph, self.program = graph, program
-        self.edges = graph.edges.repartition(count, "src")
+        if program.ordered:
+            edges = edges.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("dst", "value")) - 1)
+        row = degrees.agg(F.sum("out_degree").alias("all"), F.max("out_degree").alias("most")).first()
+        self.fair = max(PLAIN, (row["all"] or 0) // (4 * count))
+        self.heavy: DataFrame | None = None
+        if (row["most"] or 0) > self.fair:
+            # 4 * count at most, as each has more than a 4 * count'th part of all edges.
+            large = F.broadcast(degrees.where(F.col("out_degree") > self.fair).select(F.col("id").alias("src")))
+            self.heavy = edges.join(large, "src", "left_semi").repartition(count, "dst").persist(StorageLevel.MEMORY_AND_DISK)
+            edges = edges.join(large, "src", "left_anti")
+        self.light = edges.repartition(count, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
+        self.light.count()  # its partitioning is known to later plans once it is there
         self.step: Step | None = None
         self.value_type = graph.vertices.schema["value"].dataType
 
@@ -122,8 +155,13 @@ class _Columns:
             inbox = messages.groupBy("dst").agg(F.count("*").alias("received"), *[how(F.col("src"), F.col("message")).alias(f"in_{name}") for name, how in combine.items()])
             rows = state.join(inbox, state["id"] == inbox["dst"], "left").drop("dst")
         self.step = step = self.program.compute(Context(superstep, known))
+        step.contribute = {named(self.program.aggregators, n): c for n, c in step.contribute.items()}
         runs = F.col("active") | F.col("received").isNotNull()
         targets = {} if step.targets is None else {"targets": F.when(F.col("runs"), step.targets)}
+        if step.skip is not None:
+            if not self.program.ordered:
+                raise ValueError("steps that skip out-edges need a program with ordered = True")
+            targets["skip"] = _column(step.skip).cast("long")
         sends = (F.col("runs") & _column(step.send)) if step.message is not None else F.lit(False)
         ran = rows.withColumn("runs", runs)
         value = F.col("value") if step.value is None else F.when(F.col("runs"), step.value.cast(self.value_type)).otherwise(F.col("value"))
@@ -151,7 +189,8 @@ class _Columns:
         unknown = given.keys() - self.program.aggregators.keys()
         if unknown:
             raise KeyError(f"no such aggregators: {sorted(unknown)}")
-        sent = F.sum(F.when(F.col("sends"), F.col("out_degree")).otherwise(0))
+        along = F.col("out_degree") if self.step.skip is None else F.greatest(F.lit(0), F.col("out_degree") - F.greatest(F.lit(0), F.col("skip")))
+        sent = F.sum(F.when(F.col("sends"), along).otherwise(0))
         if self.step.targets is not None:
             sent = sent + F.sum(F.coalesce(F.size("targets"), F.lit(0)))
         plain = {n: a for n, a in self.program.aggregators.items() if n in given and not isinstance(a, FoldAggregator)}
@@ -165,28 +204,42 @@ class _Columns:
             values[n] = a.init if found is None else found
         return values
 
-    def messages(self, state: DataFrame, edges: DataFrame) -> DataFrame | None:
+    def messages(self, state: DataFrame) -> DataFrame | None:
         """src, dst, message of what the last superstep has sent."""
         parts = []
         if self.step.message is not None:
-            senders = state.where("sends").select("id", "out_degree", F.col("value").alias("vertex_value"))
-            along = edges.select("src", "dst", F.col("value").alias("edge_value"))
+            skips = ["skip"] if self.step.skip is not None else []
+            senders = state.where("sends").select("id", "out_degree", F.col("value").alias("vertex_value"), *skips)
             value = self.step.message(Row(id=F.col("id"), value=F.col("vertex_value"), out_degree=F.col("out_degree")), Row(src=F.col("src"), dst=F.col("dst"), value=F.col("edge_value")))
-            parts.append(senders.join(along, senders["id"] == along["src"]).select("src", "dst", value.cast(self.program.message_type).alias("message")))
+            sides = [(senders, self.light)]
+            if self.heavy is not None:
+                sides.append((F.broadcast(senders.where(F.col("out_degree") > self.fair)), self.heavy))
+            for some, edges in sides:
+                along = edges.withColumnRenamed("value", "edge_value")
+                joined = some.join(along, some["id"] == along["src"])
+                if skips:
+                    joined = joined.where("place >= skip")
+                parts.append(joined.select("src", "dst", value.cast(self.program.message_type).alias("message")))
         if self.step.targets is not None:
             parts.append(state.where("targets IS NOT NULL").select(F.col("id").alias("src"), F.inline("targets")).select("src", F.col("dst").cast("long").alias("dst"), F.col("value").cast(self.program.message_type).alias("message")))
         if not parts:
             return None
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return reduce(DataFrame.unionByName, parts)
+
+    def clear(self) -> None:
+        self.light.unpersist()
+        if self.heavy is not None:
+            self.heavy.unpersist()
 
 
 class _Python:
     """Supersteps of a program in Python."""
 
-    def __init__(self, graph: Graph, program: PandasVertexProgram, count: int):
+    def __init__(self, graph: Graph, program: PandasVertexProgram, edges: DataFrame, degrees: DataFrame, count: int):
         self.program = program
-        edges = graph.edges.groupBy("src").agg(F.collect_list(F.struct("dst", "value")).alias("edges"))
-        self.edges = edges.repartition(count, "src")
+        edges = edges.groupBy("src").agg(F.collect_list(F.struct("dst", "value")).alias("edges"))
+        self.edges = edges.repartition(count, "src").persist(StorageLevel.MEMORY_AND_DISK)
+        self.edges.count()
 
     def superstep(self, state: DataFrame, messages: DataFrame | None, superstep: int, known: dict[str, Any]) -> DataFrame:
         program = self.program
@@ -226,5 +279,8 @@ class _Python:
         given = state.select(F.inline("given"))
         return {n: a.over(given.where(F.col("name") == n).select("value")) for n, a in self.program.aggregators.items()}
 
-    def messages(self, state: DataFrame, edges: DataFrame) -> DataFrame:
+    def messages(self, state: DataFrame) -> DataFrame:
         return state.select(F.col("id").alias("src"), F.inline("sent")).select("src", "dst", F.col("value").alias("message"))
+
+    def clear(self) -> None:
+        self.edges.unpersist()

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions.aggregators import FoldAggregator, avg, count, maximum, minimum, total
 from .functions.shared import settle
@@ -22,8 +21,8 @@ from .sources.sinks import part_of, partition_headers, write_partitioned, write_
 from .sources.tables import part_edges, part_graph, size_of, supply_edges, supply_graph, tree_graph, user_graph, weighted_part_edges
 
 PARTS = 4
-#: Updating supersteps of PageRank on the parts' graph at scale 0.01, of which the SQL needs to know.
-CONVERGED = 13
+#: Rounds that SQL unrolls for programs that run until nothing changes; any number beyond the last change gives the same rows.
+ROUNDS, UPDATES = 12, 24
 INFINITE = float("inf")
 
 QUERIES: dict = {}
@@ -80,13 +79,13 @@ def one_row(spark: SparkSession, row: tuple, schema: str) -> DataFrame:
 class Ask(VertexProgram):
     """Superstep 0 sends, superstep 1 keeps what combine makes of it: the relational reading of one exchange of messages."""
 
-    def __init__(self, made, message=None, targets=None, send=True, keep="x", message_type="double"):
-        self.combine = {"x": made}
-        self._message, self._targets, self._send, self.keep, self.message_type = message, targets, send, keep, message_type
+    def __init__(self, made, message=None, targets=None, send=True, skip=None):
+        self.combine, self.ordered = {"x": made}, skip is not None
+        self._message, self._targets, self._send, self._skip = message, targets, send, skip
 
     def compute(self, ctx: Context) -> Step:
         if ctx.superstep == 0:
-            return Step(halt=True, message=self._message, targets=self._targets, send=self._send)
+            return Step(halt=True, message=self._message, targets=self._targets, send=self._send, skip=self._skip)
         return Step(value=ctx.inbox("x"), halt=True)
 
 
@@ -157,14 +156,22 @@ WEIGHTED = "w AS MATERIALIZED (SELECT src, dst, CAST(count(*) AS DOUBLE) AS valu
 
 @query(f"{PART}, {WEIGHTED} SELECT id, dst, value FROM v JOIN w ON src = id")
 def edge_iterate_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vertex sends each edge's value along it; what arrives are the edges."""
     graph = Graph.dense(weighted_part_edges(spark, sf_dir), size_of(spark, sf_dir, "part"))
-    return graph.vertices.join(graph.edges.withColumnRenamed("value", "weight"), F.col("id") == F.col("src")).select("id", "dst", F.col("weight").alias("value"))
+    return arrived(graph, lambda v, e: e.value).select(F.col("src").alias("id"), "dst", F.col("m").alias("value"))
+
+
+def arrived(graph: Graph, message, skip: int | None = None) -> DataFrame:
+    """src, dst, m of every message of one superstep along the edges."""
+    graph = Graph(graph.vertices.select("id", F.lit(None).cast("array<struct<src:bigint,m:double>>").alias("value")), graph.edges)
+    done = run(graph, Ask(lambda src, m: F.collect_list(F.struct(src.alias("src"), m.alias("m"))), message=message, skip=skip))
+    return done.vertices.select(F.col("id").alias("dst"), F.inline("value"))
 
 
 @query(f"{PART} SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM e) WHERE k > 2")
 def edge_skip_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
-    return part_edges(spark, sf_dir).withColumn("k", place).where("k > 2").select("src", "dst")
+    """Messages along all out-edges but the first two."""
+    return arrived(part_graph(spark, sf_dir), lambda v, e: F.lit(1.0), skip=2).select("src", "dst")
 
 
 # Messages
@@ -359,7 +366,7 @@ def master_rewrite_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(run(part_graph(spark, sf_dir), ReadGlobal(), master=master))
 
 
-@query(f"{PART}, {levels(8)} SELECT CAST(max(val) + 2 AS BIGINT) AS supersteps FROM l8 WHERE val < 'inf'::DOUBLE")
+@query(f"{PART}, {levels(ROUNDS)} SELECT CAST(max(val) + 2 AS BIGINT) AS supersteps FROM l{ROUNDS} WHERE val < 'inf'::DOUBLE")
 def quiescence_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search ends once no message is in flight: one superstep after the last level was reached."""
     return one_row(spark, (bfs(part_graph(spark, sf_dir), 0).supersteps,), "supersteps long")
@@ -389,7 +396,15 @@ def pagerank_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pagerank(supply_graph(spark, sf_dir)))
 
 
-@query(f"{PART}, {ranks(CONVERGED)} SELECT id, round(val, 6) AS value FROM pr{CONVERGED}")
+def _converged() -> str:
+    """The ranks after the first update that changes them by less than 1e-6 in all."""
+    numbers = range(1, UPDATES + 1)
+    changes = " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(a.val - b.val)) AS x FROM pr{k} a JOIN pr{k - 1} b USING (id)" for k in numbers)
+    rows = " UNION ALL ".join(f"SELECT id, round(val, 6) AS value FROM pr{k} WHERE (SELECT k FROM stop) = {k}" for k in numbers)
+    return f"{PART}, {ranks(UPDATES)}, changes AS MATERIALIZED ({changes}), stop AS MATERIALIZED (SELECT min(k) AS k FROM changes WHERE x < 1e-6) SELECT * FROM ({rows})"
+
+
+@query(_converged())
 def pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pagerank(part_graph(spark, sf_dir)))
 
@@ -435,44 +450,44 @@ def pagerank_python(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Further programs
 
 
-@query(f"{PART}, {levels(8)} SELECT id, CASE WHEN val < 'inf'::DOUBLE THEN val END AS level FROM l8")
+@query(f"{PART}, {levels(ROUNDS)} SELECT id, CASE WHEN val < 'inf'::DOUBLE THEN val END AS level FROM l{ROUNDS}")
 def breadth_first_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bfs(part_graph(spark, sf_dir), 0).vertices.select("id", F.when(F.col("value") < INFINITE, F.col("value")).alias("level"))
 
 
-@query(f"{PART}, {WEIGHTED}, {levels(5, 'w.value', 'w')} SELECT id, CASE WHEN val < 'inf'::DOUBLE THEN val END AS distance FROM l5")
+@query(f"{PART}, {WEIGHTED}, {levels(ROUNDS, 'w.value', 'w')} SELECT id, CASE WHEN val < 'inf'::DOUBLE THEN val END AS distance FROM l{ROUNDS}")
 def sssp_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph.dense(weighted_part_edges(spark, sf_dir), size_of(spark, sf_dir, "part"))
-    return shortest_paths(graph, 0, max_supersteps=6).vertices.select("id", F.when(F.col("value") < INFINITE, F.col("value")).alias("distance"))
+    return shortest_paths(graph, 0).vertices.select("id", F.when(F.col("value") < INFINITE, F.col("value")).alias("distance"))
 
 
 @query(
     """WITH o AS (SELECT (SELECT count(*) FROM region) AS r, (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM customer) AS c)
-SELECT CAST(r_regionkey AS BIGINT) AS id, CAST(r_regionkey AS DOUBLE) AS value FROM region
-UNION ALL SELECT r + n_nationkey, CAST(n_regionkey AS DOUBLE) FROM nation, o
-UNION ALL SELECT r + n + c_custkey, CAST(n_regionkey AS DOUBLE) FROM customer JOIN nation ON c_nationkey = n_nationkey, o
-UNION ALL SELECT r + n + c + s_suppkey, CAST(n_regionkey AS DOUBLE) FROM supplier JOIN nation ON s_nationkey = n_nationkey, o"""
+SELECT CAST(r_regionkey AS BIGINT) AS id, CAST(r_regionkey AS BIGINT) AS value FROM region
+UNION ALL SELECT r + n_nationkey, CAST(n_regionkey AS BIGINT) FROM nation, o
+UNION ALL SELECT r + n + c_custkey, CAST(n_regionkey AS BIGINT) FROM customer JOIN nation ON c_nationkey = n_nationkey, o
+UNION ALL SELECT r + n + c + s_suppkey, CAST(n_regionkey AS BIGINT) FROM supplier JOIN nation ON s_nationkey = n_nationkey, o"""
 )
 def weakly_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(weak_components(tree_graph(spark, sf_dir)))
+    return weak_components(tree_graph(spark, sf_dir)).vertices.select("id", "value")
 
 
 def _most(steps: int) -> str:
-    out = ["m0 AS MATERIALIZED (SELECT id, CAST(id AS DOUBLE) AS val FROM v)"]
+    out = ["m0 AS MATERIALIZED (SELECT id, id AS val FROM v)"]
     for k in range(1, steps + 1):
         out.append(f"m{k} AS MATERIALIZED (SELECT p.id, greatest(p.val, coalesce(x.x, p.val)) AS val FROM m{k - 1} p LEFT JOIN (SELECT e.dst, max(q.val) AS x FROM m{k - 1} q JOIN e ON e.src = q.id GROUP BY e.dst) x ON x.dst = p.id)")
     return ", ".join(out)
 
 
-@query(f"{PART}, {_most(3)} SELECT id, val AS value FROM m3")
+@query(f"{PART}, {_most(ROUNDS)} SELECT id, val AS value FROM m{ROUNDS}")
 def max_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = part_graph(spark, sf_dir)
-    numbered = Graph(graph.vertices.select("id", F.col("id").cast("double").alias("value")), graph.edges)
-    return rounded(propagate_most(numbered, max_supersteps=4))
+    numbered = Graph(graph.vertices.select("id", F.col("id").alias("value")), graph.edges)
+    return propagate_most(numbered).vertices.select("id", "value")
 
 
 def _labels(rounds: int) -> str:
-    out = ["l0 AS MATERIALIZED (SELECT id, CAST(id AS DOUBLE) AS val FROM v)"]
+    out = ["l0 AS MATERIALIZED (SELECT id, id AS val FROM v)"]
     for k in range(1, rounds + 1):
         most = f"SELECT dst, val FROM (SELECT e.dst, q.val, row_number() OVER (PARTITION BY e.dst ORDER BY count(*) DESC, q.val) AS k FROM l{k - 1} q JOIN e ON e.src = q.id GROUP BY e.dst, q.val) WHERE k = 1"
         out.append(f"l{k} AS MATERIALIZED (SELECT p.id, coalesce(m.val, p.val) AS val FROM l{k - 1} p LEFT JOIN ({most}) m ON m.dst = p.id)")
@@ -482,8 +497,8 @@ def _labels(rounds: int) -> str:
 @query(f"{PART}, {_labels(3)} SELECT id, val AS value FROM l3")
 def label_prop_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = part_graph(spark, sf_dir)
-    numbered = Graph(graph.vertices.select("id", F.col("id").cast("double").alias("value")), graph.edges)
-    return rounded(label_propagation(numbered, 3))
+    numbered = Graph(graph.vertices.select("id", F.col("id").alias("value")), graph.edges)
+    return label_propagation(numbered, 3).vertices.select("id", "value")
 
 
 @query(f"{PART} SELECT v.id, CAST(count(e.dst) AS DOUBLE) AS value FROM v LEFT JOIN e ON e.dst = v.id GROUP BY v.id")

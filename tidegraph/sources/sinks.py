@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.graph import Graph
@@ -23,6 +25,35 @@ def write_result(vertices: DataFrame, path: str, line: Column | None = None, par
     rows.select(F.col("line").alias("value"), "part").write.mode(mode).partitionBy("part").text(path)
 
 
+def name_parts(spark: SparkSession, folder: str, prefix: str) -> None:
+    """Moves the one file of each folder/part=k to PREFIX_k and removes folder; as many moves as parts. Other parts get no file."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    where = path(folder)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.globStatus(path(f"{folder}/part=*/part-*")) or ():
+        part = found.getPath().getParent().getName().removeprefix("part=")
+        target = path(f"{prefix}_{part}")
+        if files.exists(target):
+            raise FileExistsError(f"{prefix}_{part}")
+        if not files.rename(found.getPath(), target):
+            raise OSError(f"{found.getPath()} can't be moved to {target}")
+    files.delete(where, True)
+
+
+def write_result_parts(vertices: DataFrame, prefix: str, parts: int, line: Column | None = None) -> None:
+    """Writes a line per vertex to the files PREFIX_1..PREFIX_parts, by id % parts, as parts_of(PREFIX) reads them."""
+    folder = f"{prefix}-{uuid.uuid4().hex}"
+    write_result(vertices, folder, line, parts)
+    name_parts(vertices.sparkSession, folder, prefix)
+
+
+def write_graph_parts(graph: Graph, prefix: str, parts: int, values: bool = False) -> None:
+    """Writes a graph as the edge lists PREFIX_1..PREFIX_parts."""
+    folder = f"{prefix}-{uuid.uuid4().hex}"
+    write_partitioned(graph, folder, parts, values)
+    name_parts(graph.edges.sparkSession, folder, prefix)
+
+
 def part_of(id: Column, parts: int) -> Column:
     """The part of a vertex, from 1."""
     return F.pmod(id, F.lit(parts)) + 1
