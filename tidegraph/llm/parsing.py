@@ -26,13 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.shipping import ship_by_value
-from .common import limit_batches, map_batches, settle, table, text_column
+from .common import limit_batches, map_batches, table, text_column
 
 FIRST, KEEP, RATE, CHARS = 2, 48, 64, 1 << 20
 A, B, C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -187,24 +186,13 @@ def compare_next(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = TaskContext.get().partitionId(), None
-        empty = lambda n: [pa.nulls(n, k.type) for k in answer([], [""])]
-        ends = lambda ids, texts, first: pa.RecordBatch.from_arrays([*empty(len(ids)), pa.array([part] * len(ids), pa.int32()), pa.array(first, pa.bool_()), pa.array(ids, pa.int64()), pa.array(texts, pa.string())], [*NAMES, "part", "first", "id", "text"])
+        held: list[tuple] = []  # the row before, which waits for its next
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if not ids:
-                continue
-            if held is None:
-                yield ends(ids[:1], texts[:1], [True])
-            else:
-                ids, texts = [held[0], *ids], [held[1], *texts]
-            held = ids[-1], texts[-1]
-            if len(ids) > 1:
-                made = answer(ids, texts)
-                n = len(ids) - 1
-                yield pa.RecordBatch.from_arrays([*made, pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], [*NAMES, "part", "first", "id", "text"])
-        if held is not None:
-            yield ends([held[0]], [held[1]], [False])
+            rows = [*held, *zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            if len(rows) > 1:
+                ids, texts = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(answer(ids, list(texts)), NAMES)
+            held = rows[-1:]
 
     def last(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [answer([i], [a, b]) for i, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
@@ -214,13 +202,15 @@ def compare_next(docs: DataFrame) -> DataFrame:
     limit_batches(docs.sparkSession)
     count = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("doc_id").desc_nulls_last(), F.col("place")]
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place")).repartitionByRange(count, *order).sortWithinPartitions(*order)
-    done = settle(rows.select("doc_id", "text").mapInArrow(run, f"{SCHEMA}, part int, first boolean, id long, text string"), "phrases")
-    # Two rows of each range; they are ordered by numbers only, texts are joined to them.
-    firsts, lasts = done.where("first").select("part", F.col("text").alias("next")), done.where("NOT first").select("part", "id", "text")
-    order = firsts.select("part", F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy())).alias("before"))
-    open_rows = lasts.join(order.select(F.col("part").alias("following"), F.col("before").alias("part")), "part").join(firsts.withColumnRenamed("part", "following"), "following")
-    return done.where("part IS NULL").select(*NAMES).unionByName(map_batches(open_rows.select("id", "text", "next"), last, SCHEMA))
+    ranges = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place")).repartitionByRange(count, *order)
+    inside = ranges.sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, SCHEMA)
+    # First and last row of each range, from the same shuffle. They are ordered by the ranges' numbers, texts are joined to them.
+    place = F.struct(F.col("doc_id").isNotNull(), "doc_id", -F.col("place"))
+    ends = ranges.groupBy(F.spark_partition_id().alias("part")).agg(F.max_by("text", place).alias("next"), F.min_by(F.struct("doc_id", "text"), place).alias("last"))
+    following = ends.where("next IS NOT NULL").select("part", F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy())).alias("before"))
+    firsts = ends.select("part", "next").join(following, "part").select(F.col("before").alias("part"), "next")
+    open_rows = ends.select("part", "last.*").join(firsts, "part").select("doc_id", "text", "next")
+    return inside.unionByName(map_batches(open_rows, last, SCHEMA))
 
 
 def op3_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
