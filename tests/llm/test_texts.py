@@ -647,22 +647,38 @@ def test_pieces_of_random_texts():
     rng = np.random.default_rng(9)
     parts = ["a", " ", "  ", "\n", "▁", "é", "日", "\x00", "\U0001d11e", "ﬁ", "<s>", "</s>", "<0x0A>", "the ", "in", "\t", "​", "ing", " ", "é", "�", "\r\n"]
     texts = ["".join(rng.choice(parts, rng.integers(0, 60))) for _ in range(1500)]
-    assert [own.encode(t) for t in texts] == lib.encode(texts, add_eos=True)
+    assert own.encode(texts) == lib.encode(texts, add_eos=True)
     assert all(same for _, _, same in pieces.encode_batch(texts, model))
     for _ in range(1500):
         ids = [int(k) for k in rng.choice([0, 1, 2, 5, 130, 200, 258, 259, 264, 28705, *rng.integers(0, 32000, 9)], rng.integers(0, 9))]
         assert own.decode(ids) == lib.decode(ids)
     long = "abcdefgh" * 40
     assert own._merge_long(list(long)) == own._merge_short(list(long))
+    joined = ["".join(rng.choice([p for p in own.ids if len(p) < 6], rng.integers(1, 6))) for _ in range(3000)]
+    assert own.solve(joined) == [own.segment_ids(s) for s in joined]
+    assert sum(len(s) <= pieces.SHORT for s in joined) > 2500
+
+
+def test_remembered_segments_turn(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 20)
+    monkeypatch.setattr(pieces, "TOGETHER", 40)
+    own, lib = pieces.prepared(pieces.read_model())
+    own.known.clear()
+    rng = np.random.default_rng(10)
+    texts = [" ".join(rng.choice(["one", "two", "three", "x" * 80, *map(str, rng.integers(0, 999, 9))], rng.integers(0, 9))) for _ in range(300)]
+    for k in range(0, 300, 7):
+        assert own.encode(texts[k : k + 7]) == lib.encode(texts[k : k + 7], add_eos=True)
+        assert len(own.known) <= 200 and not own.known.new and "▁" + "x" * 80 not in own.known
+    own.known.clear()
 
 
 def test_a_library_that_differs_is_noticed(monkeypatch):
     model = pieces.read_model()
     own, lib = pieces.prepared(model)
-    monkeypatch.setattr(own, "segment_ids", lambda s: [7])
-    own.forget()
+    monkeypatch.setattr(own, "solve", lambda new: [[7]] * len(new))
+    own.known.clear()
     assert [same for _, _, same in pieces.encode_batch(["something new here"], model)] == [False]
-    own.forget()
+    own.known.clear()
 
 
 def test_a_wrong_segment_neither_stays_nor_is_returned(monkeypatch):
@@ -670,9 +686,9 @@ def test_a_wrong_segment_neither_stays_nor_is_returned(monkeypatch):
     own, lib = pieces.prepared(model)
     texts = ["something old here", "here"]
     wanted = lib.encode(texts, add_eos=True)
-    own.forget()
+    own.known.clear()
     with monkeypatch.context() as wrong:
-        wrong.setattr(own, "segment_ids", lambda s: [7])
+        wrong.setattr(own, "solve", lambda new: [[7]] * len(new))
         assert [(ids, same) for ids, _, same in pieces.encode_batch(texts, model)] == [(ids, False) for ids in wanted]
     assert [(ids, same) for ids, _, same in pieces.encode_batch(texts, model)] == [(ids, True) for ids in wanted]
 
@@ -681,7 +697,7 @@ def test_texts_cut_wrongly_are_noticed(monkeypatch):
     """Each segment alone has the library's ids, but not the text that they were cut from."""
     model = pieces.read_model()
     own, _ = pieces.prepared(model)
-    own.forget()
+    own.known.clear()
     monkeypatch.setattr(own, "_segments", lambda text: ["\u2581some", "\u2581thing"])
     assert [same for _, _, same in pieces.encode_batch(["something"], model)] == [False]
-    own.forget()
+    own.known.clear()

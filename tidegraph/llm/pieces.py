@@ -3,8 +3,10 @@
 Encoding keeps an agenda of adjacent symbol pairs, ordered by score and then from the left, and merges the best pair until no
 pair of neighbours is a piece. Merges can't reach over a word's start when no piece has the space mark behind another
 character, nor over characters that only stand alone; texts are cut there, and equal segments are encoded once per
-worker. Decoding joins pieces, gathers byte pieces into UTF-8 and drops the space that encoding put in front.
-encode_batch() holds both against the sentencepiece library, an Arrow batch at a time.
+worker. The new segments of an Arrow batch have their agendas side by side as rows of a matrix, of which each step merges every row's
+best pair; long ones, and those with characters that are no pieces, have an agenda of their own. Decoding joins pieces, gathers
+byte pieces into UTF-8 and drops the space that encoding put in front. encode_batch() holds both against the sentencepiece
+library, an Arrow batch at a time.
 
 Edge cases: null text: empty; the empty text gives the end id alone. Characters outside the vocabulary fall back to bytes, or
 to the unknown id where a vocabulary has no byte pieces. U+2581 in a text reads as a space, as in the library. Very long texts
@@ -15,11 +17,15 @@ ValueError, as do models of another type.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
 import struct
+from contextlib import contextmanager
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +35,13 @@ from .common import map_batches, table, text_column, worker_state
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Segments that a worker remembers, in two generations: what the older one has and isn't asked for again goes.
-REMEMBERED = 200_000
-#: Symbols of a segment up to which the agenda is scanned.
-SHORT = 32
+REMEMBERED = 120_000
+#: Characters of the texts whose new segments are gathered, if they aren't one text's.
+TOGETHER = 1_000_000
+#: Bits of the places of pairs.
+PLACES = 20
+#: Symbols of a segment up to which the agenda is scanned, and columns of the matrices of agendas.
+SHORT, WIDTHS = 32, (6, 9, 12, 16, 32)
 NONE = float("-inf")
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 
@@ -69,6 +79,40 @@ def fields(data: bytes):
             raise ValueError("this is no model file")
 
 
+class Segments(dict):
+    """The ids of segments. One that isn't known yet gets an empty list, which is noted as new, to be filled before it is read."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, list[int]] = {}
+        self.new: dict[str, list[int]] = {}
+
+    def __missing__(self, segment: str) -> list[int]:
+        found = self.older.get(segment)
+        if found is None:
+            found = self.new[segment] = []
+        self[segment] = found
+        return found
+
+    def turn(self) -> None:
+        """What was known becomes the older generation."""
+        self.older = dict(self)
+        super().clear()
+
+    def settle(self) -> None:
+        """The new lists are filled; long segments aren't kept, and no more than REMEMBERED // 2 at once."""
+        if len(self.new) > REMEMBERED // 2:
+            self.clear()
+        for segment in self.new:
+            if len(segment) > 64:
+                del self[segment]
+        self.new = {}
+
+    def clear(self) -> None:
+        super().clear()
+        self.older, self.new = {}, {}
+
+
 class Vocabulary:
     """A merge-type vocabulary, read from the bytes of a model file."""
 
@@ -99,10 +143,38 @@ class Vocabulary:
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in joined))
         inner = f"[^{MARK}{re.escape(alone)}]" if alone else f"[^{MARK}]"
         self.segments = re.compile(f"{MARK}*{inner}+|{MARK}+" + (f"|[{re.escape(alone)}]" if alone else "") if cuts else "(?s).+")
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known = Segments()
         #: How pieces read; None where neighbours decide.
         self.spoken = [self._spoken(k) for k in range(len(self.pieces))]
+        #: Ids as they are written in digests.
+        self.names = [str(k) for k in range(len(self.pieces))]
+        self._pairs()
+
+    def _pairs(self) -> None:
+        """Tables of numbers: the pieces of single characters, and the pairs of pieces that form a piece, in the order of their keys."""
+        self.none = len(self.pieces)
+        self.letters = np.full(0x110000, -1, np.int32)
+        found = []
+        for piece, number in self.ids.items():
+            if len(piece) == 1:
+                self.letters[ord(piece)] = number
+            halves = ((self.ids.get(piece[:k]), self.ids.get(piece[k:])) for k in range(1, len(piece)))
+            found += [(a * (self.none + 1) + b, number, self.scores[piece]) for a, b in halves if a is not None and b is not None]
+        # The last entry is met by no pair, and stands for all that form no piece.
+        found = [*sorted(found), (np.iinfo(np.int64).max, self.none, NONE)]
+        self.pair_keys, self.pair_made = np.array([x[0] for x in found]), np.array([x[1] for x in found], np.int32)
+        self.pair_scores = np.array([x[2] for x in found])
+        # Where to look a key up first; keys whose place another one took are searched for.
+        places, order = self._place(self.pair_keys), np.arange(len(found), dtype=np.int32)
+        self.places = np.full(1 << PLACES, len(found) - 1, np.int32)
+        self.places[places] = order
+        self.ousted = np.flatnonzero(self.places[places] != order)
+        self.shared = np.zeros(1 << PLACES, bool)
+        self.shared[places[self.ousted]] = True
+
+    @staticmethod
+    def _place(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PLACES)
 
     def _spoken(self, number: int) -> str | None:
         kind, piece = self.types[number], self.pieces[number]
@@ -123,10 +195,6 @@ class Vocabulary:
         elif kind == UNKNOWN:
             self.unknown = number
 
-    def forget(self) -> None:
-        self.known.clear()
-        self.older.clear()
-
     def merge(self, text: str) -> list[str]:
         """The symbols of a segment once no two neighbours form a piece."""
         return self._merge_short(list(text)) if len(text) <= SHORT else self._merge_long(list(text))
@@ -164,6 +232,61 @@ class Vocabulary:
                     heapq.heappush(agenda, (-s, a, b, symbols[a] + symbols[b]))
         return [x for x in symbols if x]
 
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Where the pairs stand in the tables."""
+        keys = left.astype(np.int64) * (self.none + 1) + right
+        places = self._place(keys)
+        at = self.places[places]
+        missed = self.pair_keys[at] != keys
+        at[missed] = len(self.pair_keys) - 1
+        again = np.nonzero(missed & self.shared[places])
+        if len(self.ousted) and len(again[0]):
+            near = self.ousted[np.minimum(np.searchsorted(self.pair_keys[self.ousted], keys[again]), len(self.ousted) - 1)]
+            at[again] = np.where(self.pair_keys[near] == keys[again], near, len(self.pair_keys) - 1)
+        return at
+
+    def _merge_rows(self, symbols: np.ndarray) -> list[list[int]]:
+        """The agendas of all rows of symbols, which end in self.none: each step merges the best pair, the leftmost of equals, of every row."""
+        rows, last = len(symbols), symbols.shape[1] - 1
+        after = np.tile(np.minimum(np.arange(1, last + 2), last).astype(np.int8), (rows, 1))
+        before = np.tile(np.array([last, *range(last)], np.int8), (rows, 1))
+        pairs = np.full(symbols.shape, len(self.pair_keys) - 1, np.int32)
+        pairs[:, :-1] = self._pair(symbols[:, :-1], symbols[:, 1:])
+        agenda, rows = self.pair_scores[pairs], np.arange(rows)
+        while True:
+            best = agenda[rows].argmax(axis=1)
+            some = agenda[rows, best] != NONE
+            rows, best = rows[some], best[some]
+            if not len(rows):
+                break
+            right = after[rows, best]
+            follows, precedes = after[rows, right], before[rows, best]
+            symbols[rows, best] = self.pair_made[pairs[rows, best]]
+            symbols[rows, right], agenda[rows, right] = self.none, NONE
+            after[rows, best], before[rows, follows] = follows, best
+            for a, b in ((precedes, best), (best, follows)):
+                pairs[rows, a] = found = self._pair(symbols[rows, a], symbols[rows, b])
+                agenda[rows, a] = self.pair_scores[found]
+        held = symbols != self.none
+        flat, ends = symbols[held].tolist(), held.sum(axis=1).cumsum().tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def solve(self, segments: list[str]) -> list[list[int]]:
+        """The ids of segments, most of them side by side."""
+        out: list[list[int] | None] = [None] * len(segments)
+        lengths, low = np.fromiter(map(len, segments), np.int64, len(segments)), 0
+        for width in WIDTHS:
+            at = np.flatnonzero((lengths > low) & (lengths <= width))
+            low = width
+            letters = self.letters[np.frombuffer("".join([segments[k] for k in at.tolist()]).encode("utf-32-le"), np.uint32)]
+            held = np.arange(width + 1) < lengths[at][:, None]
+            symbols = np.full(held.shape, self.none, np.int32)
+            symbols[held] = letters
+            pieces = (symbols >= 0).all(axis=1)
+            for k, ids in zip(at[pieces].tolist(), self._merge_rows(symbols[pieces]), strict=True):
+                out[k] = ids
+        return [self.segment_ids(s) if ids is None else ids for s, ids in zip(segments, out, strict=True)]
+
     def segment_ids(self, segment: str) -> list[int]:
         out: list[int] = []
         for symbol in self.merge(segment):
@@ -178,21 +301,34 @@ class Vocabulary:
     def _segments(self, text: str) -> list[str]:
         return self.segments.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a text, the end id last."""
-        known, ids = self.known, []
-        for segment in self._segments(text):
-            found = known.get(segment)
-            if found is None:
-                found = self.older.get(segment) or self.segment_ids(segment)
-                if len(segment) <= 64:
-                    if len(known) >= REMEMBERED // 2:
-                        self.older = known.copy()
-                        known.clear()
-                    known[segment] = found
-            ids += found
-        ids.append(self.end)
-        return ids
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of texts, the end id last."""
+        out: list[list[int]] = []
+        while len(out) < len(texts):
+            out += self._encode_some(texts[len(out) : self._end(texts, len(out))])
+        return out
+
+    @staticmethod
+    def _end(texts: list[str], start: int) -> int:
+        """Where to stop, so that texts together have no more than TOGETHER characters, or are one."""
+        end, size = start + 1, len(texts[start])
+        while end < len(texts) and (size := size + len(texts[end])) <= TOGETHER:
+            end += 1
+        return end
+
+    def _encode_some(self, texts: list[str]) -> list[list[int]]:
+        known = self.known
+        if len(known) > REMEMBERED // 2:
+            known.turn()
+        try:
+            found = [list(map(known.__getitem__, self._segments(text))) for text in texts]
+            for ids, solved in zip(known.new.values(), self.solve([*known.new]), strict=True):
+                ids += solved
+        except BaseException:
+            known.clear()
+            raise
+        known.settle()
+        return [[*chain.from_iterable(ids), self.end] for ids in found]
 
     def decode(self, ids: list[int]) -> str:
         if not ids:
@@ -270,18 +406,31 @@ def read_model(path: str | None = None) -> bytes:
         return f.read()
 
 
+@contextmanager
+def uncollected():
+    """No search for cycles meanwhile: a batch makes a list per segment, and each search would walk all that are remembered."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def encode_batch(texts: list[str], model: bytes) -> list[tuple[list[int], str, bool]]:
     """Ids, decoded text, and whether the sentencepiece library has the same of both, for a batch of texts.
 
     The library encodes every text whole. Should one differ, its ids are given and the worker forgets all segments.
     """
     own, lib = prepared(model)
-    ids = [own.encode(text) for text in texts]
-    theirs = lib.encode(texts, num_threads=1, add_eos=True)
-    if ids != theirs:
-        own.forget()
-    decoded = lib.decode(theirs)
-    return [(b, d, a == b and own.decode(a) == d) for a, b, d in zip(ids, theirs, decoded, strict=True)]
+    with uncollected():
+        ids = own.encode(texts)
+        theirs = lib.encode(texts, num_threads=1, add_eos=True)
+        if ids != theirs:
+            own.known.clear()
+        decoded = lib.decode(theirs)
+        return [(b, d, a == b and own.decode(a) == d) for a, b, d in zip(ids, theirs, decoded, strict=True)]
 
 
 def encode_texts(docs: DataFrame, model: bytes | None = None) -> DataFrame:
@@ -300,13 +449,13 @@ def digest_texts(docs: DataFrame, model: bytes | None = None) -> DataFrame:
     model = model or read_model()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = encode_batch(batch.column(1).to_pylist(), model)
+        rows, names = encode_batch(batch.column(1).to_pylist(), model), prepared(model)[0].names
         sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 pa.array([len(ids) for ids, _, _ in rows], pa.int64()),
-                pa.array([sha(" ".join(map(str, ids))) for ids, _, _ in rows], pa.string()),
+                pa.array([sha(" ".join(map(names.__getitem__, ids))) for ids, _, _ in rows], pa.string()),
                 pa.array([sha(text) for _, text, _ in rows], pa.string()),
                 pa.array([same for _, _, same in rows], pa.bool_()),
             ],
