@@ -22,6 +22,7 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from contextlib import contextmanager
 from itertools import chain
 
@@ -35,7 +36,7 @@ from .common import map_batches, table, text_column, worker_state
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Segments that a worker remembers, in two generations: what the older one has and isn't asked for again goes.
-REMEMBERED = 120_000
+REMEMBERED = 300_000
 #: Characters of the texts whose new segments are gathered, if they aren't one text's.
 TOGETHER = 1_000_000
 #: Bits of the places of pairs.
@@ -80,19 +81,22 @@ def fields(data: bytes):
 
 
 class Segments(dict):
-    """The ids of segments. One that isn't known yet gets an empty list, which is noted as new, to be filled before it is read."""
+    """The ids of segments, as the bytes of 32-bit numbers."""
 
     def __init__(self):
         super().__init__()
-        self.older: dict[str, list[int]] = {}
-        self.new: dict[str, list[int]] = {}
-
-    def __missing__(self, segment: str) -> list[int]:
-        found = self.older.get(segment)
-        if found is None:
-            found = self.new[segment] = []
-        self[segment] = found
-        return found
+        self.older: dict[str, bytes] = {}
+        self.new: list[str] = []
+
+    def look_up(self, segments: set[str]) -> None:
+        """What the older generation has of segments comes back; those that are unknown are noted as new."""
+        older, absent = self.older, segments.difference(self)
+        self.new = [s for s in absent if s not in older]
+        self.update((s, older[s]) for s in absent.difference(self.new))
+
+    def fill(self, solved: list[list[int]]) -> None:
+        """The ids of the new segments."""
+        self.update(zip(self.new, [array("i", ids).tobytes() for ids in solved], strict=True))
 
     def turn(self) -> None:
         """What was known becomes the older generation."""
@@ -100,17 +104,18 @@ class Segments(dict):
         super().clear()
 
     def settle(self) -> None:
-        """The new lists are filled; long segments aren't kept, and no more than REMEMBERED // 2 at once."""
-        if len(self.new) > REMEMBERED // 2:
+        """Texts have been put together; long segments aren't kept, and no more than REMEMBERED // 2 new ones at once."""
+        new, self.new = self.new, []
+        if len(new) > REMEMBERED // 2:
             self.clear()
-        for segment in self.new:
+            return
+        for segment in new:
             if len(segment) > 64:
                 del self[segment]
-        self.new = {}
 
     def clear(self) -> None:
         super().clear()
-        self.older, self.new = {}, {}
+        self.older, self.new = {}, []
 
 
 class Vocabulary:
@@ -146,8 +151,8 @@ class Vocabulary:
         self.known = Segments()
         #: How pieces read; None where neighbours decide.
         self.spoken = [self._spoken(k) for k in range(len(self.pieces))]
-        #: Ids as they are written in digests.
-        self.names = [str(k) for k in range(len(self.pieces))]
+        #: Ids as they are written in digests, after a space and with zero bytes behind.
+        self.names = np.array([f" {k}".encode() for k in range(len(self.pieces))])
         self._pairs()
 
     def _pairs(self) -> None:
@@ -303,7 +308,11 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of texts, the end id last."""
-        out: list[list[int]] = []
+        return [np.frombuffer(ids, np.int32).tolist() for ids in self.encode_bytes(texts)]
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts as the bytes of 32-bit numbers."""
+        out: list[bytes] = []
         while len(out) < len(texts):
             out += self._encode_some(texts[len(out) : self._end(texts, len(out))])
         return out
@@ -316,19 +325,20 @@ class Vocabulary:
             end += 1
         return end
 
-    def _encode_some(self, texts: list[str]) -> list[list[int]]:
-        known = self.known
+    def _encode_some(self, texts: list[str]) -> list[bytes]:
+        known, end = self.known, array("i", [self.end]).tobytes()
         if len(known) > REMEMBERED // 2:
             known.turn()
         try:
-            found = [list(map(known.__getitem__, self._segments(text))) for text in texts]
-            for ids, solved in zip(known.new.values(), self.solve([*known.new]), strict=True):
-                ids += solved
+            segments = [self._segments(text) for text in texts]
+            known.look_up(set(chain.from_iterable(segments)))
+            known.fill(self.solve(known.new))
+            found = [b"".join(map(known.__getitem__, some)) + end for some in segments]
         except BaseException:
             known.clear()
             raise
         known.settle()
-        return [[*chain.from_iterable(ids), self.end] for ids in found]
+        return found
 
     def decode(self, ids: list[int]) -> str:
         if not ids:
@@ -418,19 +428,26 @@ def uncollected():
             gc.enable()
 
 
-def encode_batch(texts: list[str], model: bytes) -> list[tuple[list[int], str, bool]]:
-    """Ids, decoded text, and whether the sentencepiece library has the same of both, for a batch of texts.
+def checked(texts: list[str], model: bytes) -> tuple[list[np.ndarray], list[list[int]], list[str], list[bool]]:
+    """Ids as arrays and as lists, decoded texts, and whether the sentencepiece library has the same of both, for a batch of texts.
 
     The library encodes every text whole. Should one differ, its ids are given and the worker forgets all segments.
     """
     own, lib = prepared(model)
     with uncollected():
-        ids = own.encode(texts)
-        theirs = lib.encode(texts, num_threads=1, add_eos=True)
-        if ids != theirs:
+        ours = own.encode_bytes(texts)
+        theirs = lib.encode(texts, num_threads=1, add_eos=True, out_type="numpy")
+        same = [a == b.tobytes() for a, b in zip(ours, theirs, strict=True)]
+        if not all(same):
             own.known.clear()
-        decoded = lib.decode(theirs)
-        return [(b, d, a == b and own.decode(a) == d) for a, b, d in zip(ids, theirs, decoded, strict=True)]
+        ids = [b.tolist() for b in theirs]
+        decoded = lib.decode(ids)
+        return theirs, ids, decoded, [a and own.decode(b) == d for a, b, d in zip(same, ids, decoded, strict=True)]
+
+
+def encode_batch(texts: list[str], model: bytes) -> list[tuple[list[int], str, bool]]:
+    """Ids, decoded text, and whether the library has the same of both, text by text."""
+    return list(zip(*checked(texts, model)[1:], strict=True))
 
 
 def encode_texts(docs: DataFrame, model: bytes | None = None) -> DataFrame:
@@ -449,15 +466,16 @@ def digest_texts(docs: DataFrame, model: bytes | None = None) -> DataFrame:
     model = model or read_model()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, names = encode_batch(batch.column(1).to_pylist(), model), prepared(model)[0].names
-        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        arrays, _, decoded, agrees = checked(batch.column(1).to_pylist(), model)
+        names = prepared(model)[0].names
+        sha = lambda data: hashlib.sha256(data).hexdigest()
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
-                pa.array([len(ids) for ids, _, _ in rows], pa.int64()),
-                pa.array([sha(" ".join(map(names.__getitem__, ids))) for ids, _, _ in rows], pa.string()),
-                pa.array([sha(text) for _, text, _ in rows], pa.string()),
-                pa.array([same for _, _, same in rows], pa.bool_()),
+                pa.array([len(ids) for ids in arrays], pa.int64()),
+                pa.array([sha(names[ids].tobytes().replace(b"\0", b"")[1:]) for ids in arrays], pa.string()),
+                pa.array([sha(text.encode()) for text in decoded], pa.string()),
+                pa.array(agrees, pa.bool_()),
             ],
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"],
         )
