@@ -92,6 +92,19 @@ def test_components_of_chains_hubs_and_loops(spark, monkeypatch, few):
     assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark)).count() == 0
 
 
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of the tables that Scratch settles from now on, by label."""
+    found, settle = {}, Scratch.settle
+
+    def seen(self, df, label):
+        found.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(self, df, label)
+
+    monkeypatch.setattr(Scratch, "settle", seen)
+    return found
+
+
 # Near copies of the pipeline
 
 
@@ -129,6 +142,18 @@ def test_buckets_with_many_groups_lose_no_pair(spark, monkeypatch):
     assert kept == set(joined(pairs).values())
 
 
+def test_near_copies_are_not_broadcast_by_the_size_of_files(spark, put, monkeypatch, plans):
+    """Rows of a ball, pairs and what is joined with them go through the driver only if they were counted; results are those of small tables."""
+    rows = [(k, edited(prose(k % 9, 80), k, k % 5), "en", "s", 0) for k in range(90)]
+    docs = spark.read.parquet(put(documents=spark.createDataFrame(rows, DOCS)) + "/documents.parquet")
+    kept = sorted(texts_of(neardup.drop_near_copies(docs)))
+    assert any("Generate" in p for p in plans["hits"]) and not any("Broadcast" in p for label in ("hits", "rest") for p in plans[label])
+    plans.clear()
+    monkeypatch.setattr(common, "FEW", 0)
+    assert sorted(texts_of(neardup.drop_near_copies(docs))) == kept
+    assert not any("Broadcast" in p for label in ("hits", "rest", "links") for p in plans[label])
+
+
 def with_block(text, kind, k):
     """text with a block edited that leaves a similarity of 0.77 to 0.97: appended, cut off, put in place of the end or in front."""
     words, n = text.split(), 4 + k % 30

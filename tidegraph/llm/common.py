@@ -82,9 +82,23 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return shared.settle(df, label)[0]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Marks a table for joins by shuffling.
+
+    Spark estimates tables by the bytes of their compressed files, and doesn't count the rows that an array is made into: it would
+    take tables of a hundred times its limit for small ones and broadcast them through the driver.
+    """
+    return df.hint("merge")
+
+
+def unless_many(df: DataFrame, count: int) -> DataFrame:
+    """A table of count rows, which is joined as Spark likes up to FEW rows, and by shuffling beyond."""
+    return df if count <= FEW else spread(df)
+
+
 def if_small(df: DataFrame) -> DataFrame:
-    """Marks a settled table of a few numbers a row for broadcasting if it has no more than FEW rows; else Spark shuffles."""
-    return F.broadcast(df) if df.count() <= FEW else df
+    """Marks a settled table of a few numbers a row for broadcasting if it has no more than FEW rows; else for joins by shuffling."""
+    return F.broadcast(df) if df.count() <= FEW else spread(df)
 
 
 def join_unique(rows: DataFrame, unique: DataFrame, key: str, count: int) -> DataFrame:
@@ -96,7 +110,7 @@ def join_unique(rows: DataFrame, unique: DataFrame, key: str, count: int) -> Dat
     if count <= FEW:
         return rows.join(unique.drop("n"), key)
     hubs = F.broadcast(unique.where(F.col("n") * HUBS > count).drop("n"))
-    light = rows.join(hubs.select(key), key, "left_anti").join(unique.where(F.col("n") * HUBS <= count).drop("n"), key)
+    light = rows.join(hubs.select(key), key, "left_anti").join(spread(unique.where(F.col("n") * HUBS <= count).drop("n")), key)
     return light.unionByName(rows.join(hubs, key))
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, if_small, map_batches, settle, text_column
+from .common import Scratch, if_small, map_batches, settle, spread, text_column, unless_many
 from .components import components
 from .simhash import links, majority, shingle_hashes
 
@@ -136,12 +136,13 @@ class Linker:
         self.tested = self.edges = spark.createDataFrame([], "u long, v long")
         self.labels = spark.createDataFrame([], "node long, root long")
         self.sets: DataFrame | None = None
+        self.tests = 0
 
     def know(self, pairs: DataFrame) -> DataFrame:
         """The sets of all nodes of pairs, and maybe others; those that were not needed before are looked up."""
         nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
         missing = nodes if self.sets is None else nodes.join(self.sets.select("node"), "node", "left_anti")
-        missing = self.scratch.settle(missing.join(self.chosen, "node"), "missing")
+        missing = self.scratch.settle(missing.join(spread(self.chosen), "node"), "missing")
         if self.sets is None or not missing.isEmpty():
             found = self.every.join(if_small(missing), "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
             made = self.scratch.settle(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
@@ -150,17 +151,17 @@ class Linker:
 
     def test(self, candidates: DataFrame) -> tuple[int, int]:
         """Compares the candidate pairs u, v that haven't been compared; how many there were, and how many were linked."""
-        pairs = self.scratch.settle(candidates.distinct().join(self.tested, ["u", "v"], "left_anti"), "pairs")
+        pairs = self.scratch.settle(candidates.distinct().join(unless_many(self.tested, self.tests), ["u", "v"], "left_anti"), "pairs")
         count = pairs.count()
         if not count:
             return 0, 0
         sets = self.know(pairs)
-        end = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_shingles"))
+        end = lambda name: unless_many(sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_shingles")), count)
         whole = pairs.join(end("u"), "u").join(end("v"), "v")
         common, sizes = F.size(F.array_intersect("u_shingles", "v_shingles")), [F.size("u_shingles"), F.size("v_shingles")]
         sized = F.least(*sizes) >= SIMILARITY * F.greatest(*sizes)
         good = self.scratch.settle(whole.where(sized & (common >= SIMILARITY * (sizes[0] + sizes[1] - common))).select("u", "v"), "links")
-        self.tested = self.tested.union(pairs)
+        self.tested, self.tests = self.tested.union(pairs), self.tests + count
         if linked := good.count():
             self.edges = self.edges.union(good)
             round_scratch = Scratch(self.scratch.spark)
@@ -178,7 +179,7 @@ def ordered(a: str, b: str) -> list[Column]:
 def print_pairs(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Candidate pairs u, v by SimHash of rows node, fp and sketch: each node with one of its fingerprint, and those whose fingerprints link."""
     prints = scratch.settle(nodes.groupBy("fp").agg(F.min_by(F.struct("node", "m0", "m1"), "node").alias("one")).select("fp", "one.*"), "prints")
-    end = lambda name: prints.select(F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("node", "m0", "m1")])
+    end = lambda name: spread(prints.select(F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("node", "m0", "m1")]))
     near = links(prints, scratch).join(end("u"), "u").join(end("v"), "v").where(plausible("u_", "v_")).select(*ordered("u_node", "v_node"))
     same = nodes.join(end("fp"), "fp").where(F.col("node") != F.col("fp_node")).where(plausible("", "fp_")).select(*ordered("node", "fp_node"))
     return near.unionByName(same)
@@ -196,10 +197,10 @@ def near_groups(texts: DataFrame, distinct: DataFrame) -> DataFrame:
     first.release()
     shared = first.settle(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket"), "shared")
     first.release()
-    members = first.settle(rows.join(shared, "bucket"), "members")
+    members = first.settle(rows.join(spread(shared), "bucket"), "members")
     first.release()
     # Texts with few edits meet most others: they are the ones that rounds compare with.
-    met = members.groupBy("node").agg(F.count("*").alias("met")).join(distinct, "node").join(made.select("node", "fp", "m0", "m1"), "node")
+    met = members.groupBy("node").agg(F.count("*").alias("met")).join(spread(distinct), "node").join(spread(made.select("node", "fp", "m0", "m1")), "node")
     met = scratch.settle(met, "met")
     members = scratch.settle(members.join(if_small(met.select("node", "met", "m0", "m1")), "node"), "members")
     first.clear()
@@ -208,7 +209,7 @@ def near_groups(texts: DataFrame, distinct: DataFrame) -> DataFrame:
 
     def unfinished() -> DataFrame:
         """Members, with their group, of buckets with several groups."""
-        now = members.join(linker.labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        now = members.join(unless_many(linker.labels, linker.labels.count()), "node", "left").withColumn("root", F.coalesce("root", "node"))
         several = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
         return scratch.settle(now.join(several, "bucket"), "members")
 
@@ -233,7 +234,7 @@ def near_groups(texts: DataFrame, distinct: DataFrame) -> DataFrame:
     left = scratch.settle(grouped(unfinished(), turn).select("bucket", "root", "top", *ends), "left")
     if not left.isEmpty():
         end = lambda rows, name: rows.select("bucket", "top", *[F.col(c).alias(f"{name}_{c}") for c in ("root", *ends)])
-        rest, others = end(left.where("root != top"), "a"), end(left, "b").drop("top")
+        rest, others = end(left.where("root != top"), "a"), unless_many(end(left, "b").drop("top"), left.count())
         once = (F.col("b_root") == F.col("top")) | (F.col("a_node") < F.col("b_node"))
         found = rest.join(others, (rest["bucket"] == others["bucket"]) & (F.col("a_root") != F.col("b_root")) & once & possible("a_", "b_") & plausible("a_", "b_"))
         linker.test(found.select(*ordered("a_node", "b_node")))
@@ -256,7 +257,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
         texts = texts.join(if_small(shared), "node", "left").where(F.coalesce(F.col("own") == F.col("half"), F.lit(True)))
         distinct = settle(placed.where("half = own").groupBy("node").agg(F.min("doc_id").alias("least")), "distinct")
     labels = near_groups(texts, distinct.select("node", "least"))
-    placed = placed.join(labels, "node", "left").withColumn("root", F.when(F.col("half") == F.col("own"), F.coalesce("root", "node")).otherwise(F.col("node")))
+    placed = placed.join(unless_many(labels, labels.count()), "node", "left").withColumn("root", F.when(F.col("half") == F.col("own"), F.coalesce("root", "node")).otherwise(F.col("node")))
     placed = placed.withColumn("side", F.when(F.col("half") != F.col("own"), F.col("half")))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "half")
     keep = placed.groupBy("root", "side").agg(F.min(rank).alias("kept")).select("kept.*").drop("none").withColumn("stays", F.lit(True))
@@ -271,6 +272,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     stay = held.join(few, same(few, "_id", "_node", "_half"), "left_anti")
     if again.isEmpty():
         return stay.select("_row.*")
+    again = unless_many(again, again.count())
     these = same(again, "_id", "_node", "_half")
     once = stay.join(again, these, "left_semi").groupBy("_node", "_half", "_id").agg(F.first("_row").alias("_row"))
     return stay.join(again, these, "left_anti").select("_row.*").unionByName(once.select("_row.*"))

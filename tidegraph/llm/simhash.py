@@ -4,7 +4,7 @@ A fingerprint has 64 bits; a bit is set if it is set in over half the XXH64 hash
 included. Fingerprints link at RADIUS or fewer differing bits. Each is cut into SEGMENTS; where two link, one of their
 segments differs by RADIUS // SEGMENTS bits at most. So the table holds each distinct fingerprint by its segments, every
 fingerprint asks for the Hamming ball of that radius around each of its own, and complete distances of the matches are
-verified.
+verified. What asks is joined by shuffling: Spark, when it looks for what to broadcast, takes all rows of a ball for one.
 
 Only distinct fingerprints are linked: copies meet in one aggregate. Dense clusters are never expanded into their pairs:
 first, each fingerprint is compared with one member of every bucket it asks for, and components are taken; then, with all
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches, settle, table, text_column
+from .common import Scratch, map_batches, settle, spread, table, text_column
 from .components import components
 
 WORDS, SEED, RADIUS, SEGMENTS, HOT = 3, 42, 3, 2, 256
@@ -102,25 +102,25 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, segments:
     rows = keyed(distinct.select("fp"), parts, 0, "t").withColumnRenamed("fp", "v")
     buckets = scratch.settle(rows.groupBy(*on).agg(F.min("v").alias("one"), F.count("*").alias("n")), "buckets")
     asks = keyed(distinct.select("fp"), parts, near, "t").withColumnRenamed("fp", "u")
-    hits = scratch.settle(asks.join(buckets, on).where((F.col("n") > 1) | (F.col("one") != u)), "hits")
+    hits = scratch.settle(spread(asks).join(buckets, on).where((F.col("n") > 1) | (F.col("one") != u)), "hits")
     first = scratch.settle(hits.where((u != F.col("one")) & (differing(u, F.col("one")) <= radius)).select("u", F.col("one").alias("v")).distinct(), "first")
     labels = components(first, scratch).select(F.col("node").alias("fp"), "root")
 
     def labelled(df: DataFrame, name: str) -> DataFrame:
-        return df.join(labels.withColumnsRenamed({"fp": name, "root": f"{name}_root"}), name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
+        return df.join(spread(labels.withColumnsRenamed({"fp": name, "root": f"{name}_root"})), name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
 
     shared = scratch.settle(labelled(rows.join(buckets.where("n > 1").select(*on, "n"), on), "v"), "shared")
     ranges = shared.groupBy(*on).agg(F.min("v_root").alias("low"), F.max("v_root").alias("high"))
     open_asks = labelled(hits.where("n > 1").select("u", *on), "u").join(ranges, on)
     open_asks = scratch.settle(open_asks.where((F.col("low") != F.col("u_root")) | (F.col("high") != F.col("u_root"))).select("u", "u_root", *on), "asks")
     pair = (F.col("u_root") < F.col("v_root")) & (differing(u, v) <= radius)
-    found = [open_asks.join(shared.where(F.col("n") <= HOT), on).where(pair)]
+    found = [spread(open_asks).join(shared.where(F.col("n") <= HOT), on).where(pair)]
     # Second level: what is left of the distance lies in the other bits, which are cut in two.
     for k in range(len(parts)):
         finer = [q for j, p in enumerate(parts) if j != k for q in cut(2, *p)]
         inner_rows = keyed(shared.where((F.col("n") > HOT) & (F.col("t_seg") == k)).withColumnRenamed("v", "fp"), finer, 0, "s").withColumnRenamed("fp", "v")
         inner_asks = keyed(open_asks.where(F.col("t_seg") == k).withColumnRenamed("u", "fp"), finer, radius // len(finer), "s").withColumnRenamed("fp", "u")
-        found.append(inner_asks.join(inner_rows, [*on, "s_seg", "s_key"]).where(pair))
+        found.append(spread(inner_asks).join(inner_rows, [*on, "s_seg", "s_key"]).where(pair))
     rest = reduce(DataFrame.unionByName, [f.select("u_root", "v_root", "u", "v") for f in found])
     one = rest.groupBy("u_root", "v_root").agg(F.min(F.struct("u", "v")).alias("one")).select("one.u", "one.v")
     return first.unionByName(scratch.settle(one, "rest"))
