@@ -105,6 +105,19 @@ def plans(monkeypatch):
     return found
 
 
+def test_simhash_joins_many_rows_by_shuffling(spark, put, monkeypatch, plans):
+    """Fingerprints of many rows aren't broadcast by the size of their files, but for those that a large part of all rows have."""
+    rows = [(k, prose(k % 70, 30) if k < 100 else "copies", "en", "s", 0) for k in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    folder, wanted = put(documents=docs), brute_groups([(i, fingerprint(t)) for i, t in texts_of(docs)])
+    for few in (common.FEW, 0):
+        monkeypatch.setattr(common, "FEW", few)
+        found = simhash.op1_simhash(spark, folder)
+        assert rows_of(found, ["doc_id", "fingerprint", "component_id"]) == wanted
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert not any("Broadcast" in p for label in ("hits", "rest") for p in plans[label])
+
+
 # Near copies of the pipeline
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches, settle, spread, table, text_column
+from .common import Scratch, join_unique, map_batches, settle, spread, table, text_column, unless_many
 from .components import components
 
 WORDS, SEED, RADIUS, SEGMENTS, HOT = 3, 42, 3, 2, 256
@@ -127,16 +127,16 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, segments:
 
 
 def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fp, component_id for rows doc_id, fp: the smallest doc_id that links of fingerprints reach."""
+    """fp, component_id, n for rows doc_id, fp: the smallest doc_id that links of fingerprints reach, and how many rows have the fingerprint."""
     scratch = Scratch(prints.sparkSession)
-    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = settle(components(links(distinct, scratch, radius), scratch), "roots").withColumnRenamed("node", "fp")
     scratch.clear()
-    placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = distinct.join(unless_many(roots, roots.count()), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(names, "root").select("fp", "component_id")
+    return settle(placed.join(names, "root").select("fp", "component_id", "n"), "groups")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = settle(fingerprints(table(spark, sf_dir, "documents")), "prints")
-    return prints.join(groups(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_unique(prints, groups(prints), "fp", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
