@@ -187,6 +187,20 @@ def test_no_pair_with_an_edited_block_is_missed(spark, monkeypatch, sampled):
     assert kept == {r[0] for r in rows} - {rows[2 * k + 1][0] for k, x in enumerate(likes) if x >= 0.8}
 
 
+def test_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    """Of many texts none is left out of the counts that order shingles, and prefixes have rare ones first."""
+    monkeypatch.setattr(neardup, "SAMPLED", 10)
+    texts = [prose(k, 30) + (" one two three four five six" if k % 2 else "") for k in range(400)] + ["", None]
+    frame = neardup.texts_of(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOCS)).repartition(7)
+    common_ones, counts = neardup.common_shingles(frame, len(texts))
+    sets = [np.unique(simhash.shingle_hashes(t or "", neardup.WORDS)) for t in texts]
+    wanted = np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=1 << 20)
+    assert len(common_ones) == 0 and (np.round(2 ** ((counts + 0.5) / 2048) - 1) == wanted).all() and wanted.max() >= 200
+    passage = simhash.shingle_hashes("one two three four five six", neardup.WORDS)
+    assert not any(np.isin(passage, neardup.prefix(s, common_ones, counts)).any() for s in sets)
+    assert neardup.common_shingles(frame.limit(0), 11)[1].tolist() == [0] * (1 << 20)
+
+
 def test_prefixes_of_similar_sets_meet_where_they_may():
     """At a similarity of 0.8 and more, the first shingle of both prefixes is one by whose places the pair is possible."""
     rng = np.random.default_rng(3)

@@ -7,7 +7,8 @@ put at the end moves more than three bits), so the rest is found exactly.
 Shingles have one order for all texts. Of two sets of x and y shingles with a Jaccard similarity t, t / (1 + t) * (x + y) are
 common, so that each set's first x - ceil(t * x) + 1 shingles hold the first common one: texts meet in a bucket for each
 shingle of that prefix, and no pair that is similar enough is missed, whatever was edited. The order is rare ones first, by
-counts over a sample of the texts; it decides how large buckets get, not what they find. A bucket's pairs are cut down by
+counts over all texts: of few texts by shingle, of many by slots of hashes, which count their shingles together. It decides how large
+buckets get, not what they find. A bucket's pairs are cut down by
 the places of its shingle in both sets, then by BINS one-bit minima of the shingles that go along (SIGMAS standard deviations, which
 misses 3 in 100,000 pairs at the very threshold, fewer above), then by the exact Jaccard similarity of WORDS-word shingles. Linked
 texts form groups, one document of each stays.
@@ -26,6 +27,8 @@ empty table stays empty; ties go to the smallest doc_id; further columns are kep
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
@@ -34,15 +37,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, if_small, map_batches, settle, spread, text_column, unless_many
+from .common import Scratch, if_small, map_batches, map_partitions, settle, spread, text_column, unless_many
 from .components import components
 from .simhash import links, majority, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bits of the sketch; standard deviations by which it may err; the part of its pairs that a round must link to be followed by another.
 BINS, SIGMAS, FAIR = 128, 4.5, 0.02
-#: Texts of the sample that shingles are ordered by; times from which one counts as common there; common ones that are told apart.
+#: Texts up to which shingles are counted one by one; times from which one counts as common there; common ones that are told apart.
 SAMPLED, COMMON, TOLD = 16_000, 4, 20_000
+#: Of more texts: slots in which all shingles are counted, parts in which slots are added up, and steps of an order for twice the count.
+SLOTS, PARTS, STEPS = 1 << 20, 64, 2048
 
 
 def half_of(text: Column, half: int) -> Column:
@@ -56,14 +61,15 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def common_shingles(texts: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most common shingles of about SAMPLED of count texts (node, text), sorted, and how often each came there."""
+    """What orders shingles, counted over all count texts (node, text): of few texts the most common shingles, sorted, and how often each came; else none, and slot_counts()."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(shingle_hashes(t.as_py(), WORDS)) for t in batch.column(0)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
 
-    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) <= int(min(1.0, SAMPLED / max(1, count)) * (1 << 20)))
-    found = map_batches(some.select("text"), run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    if count > SAMPLED:
+        return np.zeros(0, np.uint64), slot_counts(texts)
+    found = map_batches(texts.select("text"), run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     rows = found.orderBy(F.desc("n"), "shingle").limit(TOLD).toArrow()
     shingles, counts = (np.array(rows[c].to_numpy(), np.int64) for c in ("shingle", "n"))
     shingles = shingles.view(np.uint64)
@@ -71,14 +77,50 @@ def common_shingles(texts: DataFrame, count: int) -> tuple[np.ndarray, np.ndarra
     return shingles[order], counts[order]
 
 
+def slot_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - (SLOTS - 1).bit_length())).astype(np.int64)
+
+
+def slot_counts(texts: DataFrame) -> np.ndarray:
+    """Of each of SLOTS slots how often all texts' shingles of it came, each once a text, as STEPS times the logarithm to base 2 of one more."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), WORDS)) for t in batch.column(0)]
+            if sets:
+                total += np.bincount(slot_of(np.concatenate(sets)), minlength=SLOTS)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(part.tobytes(), 1) for part in np.split(total, PARTS)], pa.binary())], ["part", "counts"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                totals[part] = totals.get(part, 0) + np.frombuffer(zlib.decompress(counts), np.int64)
+        if totals:
+            steps = [np.minimum(STEPS * np.log2(1 + x), 65535).astype(np.uint16).tobytes() for x in totals.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(totals, pa.int32()), pa.array(steps, pa.binary())], ["part", "counts"])
+
+    counted = map_partitions(texts.select("text"), count, "part int, counts binary")
+    rows = map_partitions(counted.repartition("part"), add_up, "part int, counts binary").toArrow()
+    found = dict(zip(rows["part"].to_pylist(), rows["counts"].to_pylist(), strict=True))
+    return np.concatenate([np.frombuffer(found[k], np.uint16) if found else np.zeros(SLOTS // PARTS, np.uint16) for k in range(PARTS)])
+
+
 def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first of a set of sorted hashes, rare ones before common ones, so many that similar sets share one; of the empty set 0."""
+    """The first of a set of sorted hashes, rare ones before common ones, so many that similar sets share one; of the empty set 0.
+
+    counts: of the common shingles, or, without any, of slots.
+    """
     if not len(hashes):
         return np.zeros(1, np.uint64)
     often = np.zeros(len(hashes), np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
         often = np.where(common[at] == hashes, counts[at], 0)
+    elif len(counts):
+        often = counts[slot_of(hashes)]
     return hashes[np.argsort(often, kind="stable")[: len(hashes) - int(np.ceil(SIMILARITY * len(hashes) - 1e-6)) + 1]]
 
 
