@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over the documents table.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written and read again as the next one's docs. All but the
-last return the columns of documents. No stage samples, caps or cuts texts.
+last return the columns of documents. No stage samples, caps or cuts texts. Stages whose Python workers need memory beside the
+executors' JVMs first have these give back what earlier stages made them take.
 
 1. quality classifier: documents that it rejects go.
 2. SimHash near-dedup: one document of each group of near copies (five-word shingles, similarity 0.8 or more) stays.
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegraph.llm import mixing, neardup, pieces, quality, secrets
-from tidegraph.llm.common import settle, table
+from tidegraph.llm.common import give_back_heap, settle, table
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +32,12 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    give_back_heap(spark)
     return neardup.drop_near_copies(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    give_back_heap(spark)
     return secrets.redact_documents(docs)
 
 
@@ -43,6 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    give_back_heap(spark)
     return pieces.digest_texts(docs)
 
 

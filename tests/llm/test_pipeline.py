@@ -74,3 +74,19 @@ def test_pipeline_against_plain_python(spark, put):
 def test_stages_of_no_rows(spark, put):
     folder = put(documents=spark.createDataFrame([], DOCS).withColumn("fp", F.lit(1)), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_python_stages_begin_with_collected_heaps(spark):
+    """In local mode the executor's JVM is the driver's, which counts its collections."""
+    from tidegraph.llm.common import give_back_heap
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    count = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+    before = count()
+    give_back_heap(spark)
+    assert count() >= before + spark.sparkContext.defaultParallelism
+    docs = spark.createDataFrame([(1, "a text", "en", "s", 6)], DOCS)
+    for stage in (corpus_pipeline.redact_secrets, corpus_pipeline.encode_pieces):
+        before = count()
+        stage(spark, docs, "")
+        assert count() > before

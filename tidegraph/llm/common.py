@@ -67,6 +67,15 @@ def give_back() -> None:
         trim(0)
 
 
+def give_back_heap(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect their garbage, upon which they return freed heap to the system: Python workers need room beside them.
+
+    A JVM keeps what earlier stages made its heap grow to, without need. One task for each core; which executor takes it is Spark's affair.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).selectExpr("reflect('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+
+
 def limit_batches(spark: SparkSession) -> None:
     """Sets the session's limits of Arrow batches to ours. Plans read them when they are executed, so that they stay."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
