@@ -17,7 +17,7 @@ No bucket is expanded into all its pairs. Rounds compare every text that isn't i
 that group, another in each round, as long as that links a fair part of them; buckets of one group are done with. Then the
 pairs that are left between different groups of a bucket are compared, all of them.
 
-Texts are read by Python once. A text is known by two 64-bit halves of its MD5: rows whose first half is another text's too are
+Texts are read by Python twice, first for the counts. A text is known by two 64-bit halves of its MD5: rows whose first half is another text's too are
 told apart by the second and stay, each text once.
 
 Edge cases: null text: empty; texts without words are copies of each other. Texts with fewer words than a shingle are one
