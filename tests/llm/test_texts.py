@@ -155,6 +155,28 @@ def test_buckets_with_many_groups_lose_no_pair(spark, monkeypatch):
     assert kept == set(joined(pairs).values())
 
 
+def test_small_buckets_are_dealt_once(spark, monkeypatch):
+    """Texts that share a passage without being alike aren't shuffled round by round, nor are prefixes of texts without copies; none is lost."""
+    rows = [(k, f"{prose(8000 + k, 50)} {prose(9000 + k // 2, 14)} {prose(8500 + k, 50)}", "en", "s", 0) for k in range(80)]
+    rows += [(100 + k, edited(prose(9900 + k % 4, 90), k, k % 3), "en", "s", 0) for k in range(12)] + [(200, rows[0][1], "en", "s", 0)]
+    pairs = [(a[0], b[0]) for a in rows for b in rows if a[0] <= b[0] and jaccard(a[1], b[1]) >= 0.8]
+    settle, dealt = Scratch.settle, {}
+
+    def counted(self, df, label):
+        made = settle(self, df, label)
+        dealt.setdefault(label, []).append(made.count())
+        return made
+
+    monkeypatch.setattr(Scratch, "settle", counted)
+    for few in (neardup.FEW, 0):
+        monkeypatch.setattr(neardup, "FEW", few)
+        dealt.clear()
+        kept = {i for i, _ in texts_of(neardup.drop_near_copies(spark.createDataFrame(rows, DOCS)))}
+        assert kept == set(joined(pairs).values()) and ("prefixes" in dealt) == (few == 0)
+        first, _, opened, *later = dealt["members"]
+        assert first >= opened > 0 and later and not any(later)
+
+
 def test_near_copies_are_not_broadcast_by_the_size_of_files(spark, put, monkeypatch, plans):
     """Rows of a ball, pairs and what is joined with them go through the driver only if they were counted; results are those of small tables."""
     rows = [(k, edited(prose(k % 9, 80), k, k % 5), "en", "s", 0) for k in range(90)]

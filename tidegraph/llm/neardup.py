@@ -13,8 +13,9 @@ the places of its shingle in both sets, then by BINS one-bit minima of the shing
 misses 3 in 100,000 pairs at the very threshold, fewer above), then by the exact Jaccard similarity of WORDS-word shingles. Linked
 texts form groups, one document of each stays.
 
-No bucket is expanded into all its pairs. Rounds compare every text that isn't in its bucket's largest group with one member of
-that group, another in each round, as long as that links a fair part of them; buckets of one group are done with. Then the
+Buckets of SMALL texts at most have all pairs between their groups compared at once, and are done with. No larger one is expanded
+into all its pairs. Rounds compare every text that isn't in its bucket's largest group with one member of
+that group, another in each round, as long as that leaves fewer of them by a fair part; buckets of one group are done with. Then the
 pairs that are left between different groups of a bucket are compared, all of them.
 
 Texts are read by Python twice, first for the counts. A text is known by two 64-bit halves of its MD5: rows whose first half is another text's too are
@@ -34,16 +35,18 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, if_small, map_batches, map_partitions, settle, spread, text_column, unless_many
+from .common import FEW, Scratch, if_small, map_batches, map_partitions, settle, spread, text_column, unless_many
 from .components import components
 from .simhash import links, majority, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-#: Bits of the sketch; standard deviations by which it may err; the part of its pairs that a round must link to be followed by another.
+#: Bits of the sketch; standard deviations by which it may err; the part by which what lies outside largest groups must shrink for another round.
 BINS, SIGMAS, FAIR = 128, 4.5, 0.02
+#: Members of a bucket up to which all its pairs are compared at once, without rounds.
+SMALL = 32
 #: Texts up to which shingles are counted one by one; times from which one counts as common there; common ones that are told apart.
 SAMPLED, COMMON, TOLD = 16_000, 4, 20_000
 #: Of more texts: slots in which all shingles are counted, parts in which slots are added up, and steps of an order for twice the count.
@@ -227,19 +230,29 @@ def print_pairs(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return near.unionByName(same)
 
 
+def one_each(every: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of the rows of shingled() one for each node, without the shingles; nodes of one row, mostly nearly all, aren't shuffled."""
+    columns = ("length", "fp", "m0", "m1", "prefix")
+    several = scratch.settle(every.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "several")
+    once = lambda rows: rows.groupBy("node").agg(*[F.first(c).alias(c) for c in columns])
+    if several.count() > FEW:
+        made = scratch.settle(once(every), "prefixes")
+        scratch.release()
+        return made
+    several = F.broadcast(several)
+    return every.select("node", *columns).join(several, "node", "left_anti").unionByName(once(every.join(several, "node")))
+
+
 def near_groups(texts: DataFrame, distinct: DataFrame) -> DataFrame:
     """node, root for the distinct texts that are linked to others; texts: doc_id, node, text; distinct: node, least (a doc_id that has it)."""
     scratch = Scratch(texts.sparkSession)
     common = common_shingles(texts, distinct.count())
     every = scratch.settle(shingled(texts, *common), "shingles")
     first = Scratch(texts.sparkSession)
-    made = every.groupBy("node").agg(*[F.first(c).alias(c) for c in ("length", "fp", "m0", "m1", "prefix")])
-    made = first.settle(made, "prefixes")
+    made = one_each(every, first)
     rows = made.select("node", "length", F.posexplode("prefix").alias("pos", "bucket"))
-    first.release()
-    shared = first.settle(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket"), "shared")
-    first.release()
-    members = first.settle(rows.join(spread(shared), "bucket"), "members")
+    shared = rows.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).where("size > 1").drop("size")
+    members = first.settle(shared, "members")
     first.release()
     # Texts with few edits meet most others: they are the ones that rounds compare with.
     met = members.groupBy("node").agg(F.count("*").alias("met")).join(spread(distinct), "node").join(spread(made.select("node", "fp", "m0", "m1")), "node")
@@ -250,13 +263,20 @@ def near_groups(texts: DataFrame, distinct: DataFrame) -> DataFrame:
     linker.test(print_pairs(met, scratch))
 
     def unfinished() -> DataFrame:
-        """Members, with their group, of buckets with several groups."""
+        """Members, with their group and the size of their bucket, of buckets with several groups."""
         now = members.join(unless_many(linker.labels, linker.labels.count()), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+        several = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("bucket", "size")
         return scratch.settle(now.join(several, "bucket"), "members")
 
     ends = ("node", "length", "pos", "m0", "m1")
 
+    def within(few: DataFrame) -> DataFrame:
+        """All pairs u, v between different groups of buckets with SMALL members at most."""
+        lists = few.repartition("bucket").groupBy("bucket").agg(F.collect_list(F.struct("root", *ends)).alias("all"))
+        pairs = lists.select("all", F.posexplode("all").alias("k", "a")).select("a", F.explode(F.slice("all", F.col("k") + 2, SMALL)).alias("b"))
+        pairs = pairs.select(*[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("a", "b") for c in ("root", *ends)])
+        return pairs.where((F.col("a_root") != F.col("b_root")) & possible("a_", "b_") & plausible("a_", "b_")).select(*ordered("a_node", "b_node"))
+
     def grouped(now: DataFrame, turn: int) -> DataFrame:
         """Such members, and of each bucket the largest group and one of its members."""
         weight = F.col("met") * (1024 + F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1024)))
@@ -265,15 +285,20 @@ def near_groups(texts: DataFrame, distinct: DataFrame) -> DataFrame:
         largest = largest.select("bucket", F.col("top.root").alias("top"), *[F.col(f"top.other.{c}").alias(f"other_{c}") for c in ends])
         return now.join(largest, "bucket")
 
-    turn, fair = 0, True
+    # Small buckets are done with at once, so that rounds don't deal them again and again.
+    members = unfinished()
+    linker.test(within(members.where(F.col("size") <= SMALL)))
+    members = members.where(F.col("size") > SMALL).drop("root", "size")
+    turn, before, fair = 0, None, True
     while fair:
-        members = unfinished()
-        met_here = grouped(members, turn).where((F.col("root") != F.col("top")) & possible("", "other_") & plausible("", "other_"))
-        tested, linked = linker.test(met_here.select(*ordered("node", "other_node")))
-        members = members.drop("root")
-        turn, fair = turn + 1, linked > FAIR * tested
+        members = unfinished().drop("size")
+        others = [f"other_{c}" for c in ends]
+        away = scratch.settle(grouped(members, turn).where(F.col("root") != F.col("top")).select(*ends, *others), "away")
+        _, linked = linker.test(away.where(possible("", "other_") & plausible("", "other_")).select(*ordered("node", "other_node")))
+        members, left = members.drop("root"), away.count()
+        turn, before, fair = turn + 1, left, linked > 0 and (before is None or left < (1 - FAIR) * before)
     # What no round has linked: all pairs between different groups of a bucket, of which one isn't in its largest group.
-    left = scratch.settle(grouped(unfinished(), turn).select("bucket", "root", "top", *ends), "left")
+    left = scratch.settle(grouped(unfinished().drop("size"), turn).select("bucket", "root", "top", *ends), "left")
     if not left.isEmpty():
         end = lambda rows, name: rows.select("bucket", "top", *[F.col(c).alias(f"{name}_{c}") for c in ("root", *ends)])
         rest, others = end(left.where("root != top"), "a"), unless_many(end(left, "b").drop("top"), left.count())
