@@ -775,3 +775,37 @@ def test_texts_cut_wrongly_are_noticed(monkeypatch):
     monkeypatch.setattr(own, "_segments", lambda text: ["\u2581some", "\u2581thing"])
     assert [same for _, _, same in pieces.encode_batch(["something"], model)] == [False]
     own.known.clear()
+
+
+def test_segments_are_held_against_the_library_once(monkeypatch):
+    """What is remembered isn't encoded by the library again; a text cut within a word is noticed though its segments hold."""
+    model = pieces.read_model()
+    own, lib = pieces.prepared(model)
+    texts = [f" {prose(k % 3, 300)}\n\n a\tb  \n\rc d{'▁' * (k % 4)}" for k in range(40)]
+    wanted = [(lib.encode(t, add_eos=True), lib.decode(lib.encode(t)), True) for t in texts]
+
+    class Counting:
+        asked = 0
+
+        def encode(self, some, **how):
+            self.asked += sum(map(len, some))
+            return lib.encode(some, **how)
+
+        def decode(self, ids):
+            return lib.decode(ids)
+
+    counting = Counting()
+    monkeypatch.setattr(pieces, "prepared", lambda _: (own, counting))
+    own.known.clear()
+    assert pieces.encode_batch(texts, model) == wanted
+    first = counting.asked
+    assert pieces.encode_batch(texts, model) == wanted
+    assert counting.asked - first < 100 and first < sum(map(len, texts)) / 4
+    cut = own._segments
+    for wrong in (["▁some", "thing"], ["▁", "▁some"], ["▁some"]):
+        monkeypatch.setattr(own, "_segments", lambda text, wrong=wrong: wrong)
+        own.known.clear()
+        assert pieces.encode_batch(["something"], model)[0][0] == lib.encode("something", add_eos=True)
+        assert own.encode_bytes(["something"], lib) is None
+    monkeypatch.setattr(own, "_segments", cut)
+    own.known.clear()

@@ -5,8 +5,12 @@ pair of neighbours is a piece. Merges can't reach over a word's start when no pi
 character, nor over characters that only stand alone; texts are cut there, and equal segments are encoded once per
 worker. The new segments of an Arrow batch have their agendas side by side as rows of a matrix, of which each step merges every row's
 best pair; long ones, and those with characters that are no pieces, have an agenda of their own. Decoding joins pieces, gathers
-byte pieces into UTF-8 and drops the space that encoding put in front. encode_batch() holds both against the sentencepiece
-library, an Arrow batch at a time.
+byte pieces into UTF-8 and drops the space that encoding put in front.
+
+Both are held against the sentencepiece library, an Arrow batch at a time: decoding text by text, encoding by each new segment's ids
+before they are remembered, and by the cuts of every text. Its segments joined must be the text, and no piece may hold the two
+characters on both sides of a cut, so that no merge reaches over it and the whole text's ids are those of its segments. Should a
+segment or a cut not hold, or where the vocabulary doesn't allow for this, the library encodes the batch's texts whole and its ids are given.
 
 Edge cases: null text: empty; the empty text gives the end id alone. Characters outside the vocabulary fall back to bytes, or
 to the unknown id where a vocabulary has no byte pieces. U+2581 in a text reads as a space, as in the library. Very long texts
@@ -87,6 +91,8 @@ class Segments(dict):
         super().__init__()
         self.older: dict[str, bytes] = {}
         self.new: list[str] = []
+        #: Whether all were held against the library.
+        self.held = False
 
     def look_up(self, segments: set[str]) -> None:
         """What the older generation has of segments comes back; those that are unknown are noted as new."""
@@ -145,7 +151,9 @@ class Vocabulary:
             raise ValueError("user-defined and unused pieces aren't supported")
         joined = [p for p in self.ids if len(p) > 1]
         cuts = not any(MARK in p.lstrip(MARK) for p in joined)
-        alone = "".join(c for c in "\n\t\r" if not any(c in p for p in joined))
+        self.alone = alone = "".join(c for c in "\n\t\r" if not any(c in p for p in joined))
+        #: Whether a text's ids are those of its segments, and the library can be asked for a segment's (behind a line feed).
+        self.by_segment = cuts and self.byte_fallback and "\n" in alone
         inner = f"[^{MARK}{re.escape(alone)}]" if alone else f"[^{MARK}]"
         self.segments = re.compile(f"{MARK}*{inner}+|{MARK}+" + (f"|[{re.escape(alone)}]" if alone else "") if cuts else "(?s).+")
         self.known = Segments()
@@ -310,13 +318,34 @@ class Vocabulary:
         """The ids of texts, the end id last."""
         return [np.frombuffer(ids, np.int32).tolist() for ids in self.encode_bytes(texts)]
 
-    def encode_bytes(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts as the bytes of 32-bit numbers."""
+    def encode_bytes(self, texts: list[str], lib=None) -> list[bytes] | None:
+        """The ids of texts as the bytes of 32-bit numbers; with lib, None unless new segments' ids are the library's and cuts are right."""
+        if self.known.held != (lib is not None):
+            self.known.clear()
+            self.known.held = lib is not None
         out: list[bytes] = []
         while len(out) < len(texts):
-            out += self._encode_some(texts[len(out) : self._end(texts, len(out))])
+            some = self._encode_some(texts[len(out) : self._end(texts, len(out))], lib)
+            if some is None:
+                return None
+            out += some
         return out
 
+    def _holds(self, lib, segments: list[str], solved: list[list[int]]) -> bool:
+        """Whether the library has the same ids of segments; it puts a mark in front of what it encodes."""
+        marked = [len(s) > 1 and s[0] == MARK for s in segments]
+        found, front = lib.encode([s[1:] if m else "\n" + s for s, m in zip(segments, marked, strict=True)], num_threads=1), lib.encode("\n")
+        return all(f == (ids if m else front + ids) for f, ids, m in zip(found, solved, marked, strict=True))
+
+    def _cut_right(self, text: str, segments: list[str], odd: set[str]) -> bool:
+        """Whether segments are the whole text and no piece reaches over a cut; odd: those which begin without a mark or end with one."""
+        if "".join(segments) != (MARK + text.replace(" ", MARK) if text else ""):
+            return False
+        if odd.isdisjoint(segments):
+            return True
+        alone, cuts = self.alone, {c for k, s in enumerate(segments) if s in odd for c in (k, k + 1) if 0 < c < len(segments)}
+        return all(b[0] in alone or a[-1] in alone or (b[0] == MARK and a[-1] != MARK) for a, b in ((segments[c - 1], segments[c]) for c in cuts))
+
     @staticmethod
     def _end(texts: list[str], start: int) -> int:
         """Where to stop, so that texts together have no more than TOGETHER characters, or are one."""
@@ -325,14 +354,21 @@ class Vocabulary:
             end += 1
         return end
 
-    def _encode_some(self, texts: list[str]) -> list[bytes]:
+    def _encode_some(self, texts: list[str], lib) -> list[bytes] | None:
         known, end = self.known, array("i", [self.end]).tobytes()
         if len(known) > REMEMBERED // 2:
             known.turn()
         try:
             segments = [self._segments(text) for text in texts]
-            known.look_up(set(chain.from_iterable(segments)))
-            known.fill(self.solve(known.new))
+            distinct = set(chain.from_iterable(segments))
+            known.look_up(distinct)
+            solved = self.solve(known.new)
+            if lib is not None:
+                odd = {s for s in distinct if s[0] != MARK or s[-1] == MARK}
+                if not self._holds(lib, known.new, solved) or not all(self._cut_right(text, some, odd) for text, some in zip(texts, segments, strict=True)):
+                    known.clear()
+                    return None
+            known.fill(solved)
             found = [b"".join(map(known.__getitem__, some)) + end for some in segments]
         except BaseException:
             known.clear()
@@ -431,18 +467,29 @@ def uncollected():
 def checked(texts: list[str], model: bytes) -> tuple[list[np.ndarray], list[list[int]], list[str], list[bool]]:
     """Ids as arrays and as lists, decoded texts, and whether the sentencepiece library has the same of both, for a batch of texts.
 
-    The library encodes every text whole. Should one differ, its ids are given and the worker forgets all segments.
+    Where segments and cuts don't hold, the library encodes every text whole. Should one differ, its ids are given and the worker
+    forgets all segments.
     """
     own, lib = prepared(model)
     with uncollected():
-        ours = own.encode_bytes(texts)
-        theirs = lib.encode(texts, num_threads=1, add_eos=True, out_type="numpy")
-        same = [a == b.tobytes() for a, b in zip(ours, theirs, strict=True)]
-        if not all(same):
-            own.known.clear()
-        ids = [b.tolist() for b in theirs]
+        ours = own.encode_bytes(texts, lib) if own.by_segment else None
+        if ours is not None:
+            arrays, same = [np.frombuffer(b, np.int32) for b in ours], [True] * len(texts)
+        else:
+            arrays, same = whole(texts, own, lib)
+        ids = [a.tolist() for a in arrays]
         decoded = lib.decode(ids)
-        return theirs, ids, decoded, [a and own.decode(b) == d for a, b, d in zip(same, ids, decoded, strict=True)]
+        return arrays, ids, decoded, [a and own.decode(b) == d for a, b, d in zip(same, ids, decoded, strict=True)]
+
+
+def whole(texts: list[str], own: Vocabulary, lib) -> tuple[list[np.ndarray], list[bool]]:
+    """The library's ids of whole texts, and whether ours are the same."""
+    ours = own.encode_bytes(texts)
+    theirs = lib.encode(texts, num_threads=1, add_eos=True, out_type="numpy")
+    same = [a == b.tobytes() for a, b in zip(ours, theirs, strict=True)]
+    if not all(same):
+        own.known.clear()
+    return theirs, same
 
 
 def encode_batch(texts: list[str], model: bytes) -> list[tuple[list[int], str, bool]]:
