@@ -118,6 +118,22 @@ def test_simhash_joins_many_rows_by_shuffling(spark, put, monkeypatch, plans):
     assert not any("Broadcast" in p for label in ("hits", "rest") for p in plans[label])
 
 
+def test_few_edges_need_no_rounds(spark, monkeypatch):
+    """The driver's components of few edges are those of the rounds: chains, hubs, ties, loops and both ends of the range."""
+    rng = np.random.default_rng(8)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(7000, 8000 + k) for k in range(50)] + [(5, 5), (-(2**63), 2**63 - 1), (2, 1), (1, 2)]
+    edges += [(int(a), int(b)) for a, b in rng.integers(10_000, 10_400, (200, 2))]
+    frame, labels = spark.createDataFrame(edges, "u long, v long"), []
+    settle = Scratch.settle
+    monkeypatch.setattr(Scratch, "settle", lambda self, df, label: labels.append(label) or settle(self, df, label))
+    found = rows_of(components(frame, Scratch(spark)), ["node", "root"])
+    assert labels == ["edges", "roots"] and components(frame.limit(0), Scratch(spark)).count() == 0
+    labels.clear()
+    monkeypatch.setattr(common, "FEW", 0)
+    assert rows_of(components(frame, Scratch(spark)), ["node", "root"]) == found and "roots" not in labels and len(labels) > 2
+    assert dict(found) == joined([e for e in edges if e[0] != e[1]])
+
+
 # Near copies of the pipeline
 
 
@@ -177,6 +193,23 @@ def test_small_buckets_are_dealt_once(spark, monkeypatch):
         assert first >= opened > 0 and later and not any(later)
 
 
+def test_sets_are_made_of_compared_texts_only(spark, monkeypatch):
+    """No table holds all texts' shingles; results are those of brute force."""
+    rows = [(k, edited(prose(5, 100), k, 2), "en", "s", 0) for k in range(70)] + [(100 + k, prose(600 + k, 40), "en", "s", 0) for k in range(20)]
+    kept_rows, settle = {}, Scratch.settle
+
+    def settled(self, df, label):
+        made = settle(self, df, label)
+        kept_rows.setdefault(label, []).append(made.toPandas())
+        return made
+
+    monkeypatch.setattr(Scratch, "settle", settled)
+    kept = {i for i, _ in texts_of(neardup.drop_near_copies(spark.createDataFrame(rows, DOCS)))}
+    pairs = [(a[0], b[0]) for a in rows for b in rows if a[0] <= b[0] and jaccard(a[1], b[1]) >= 0.8]
+    assert kept == set(joined(pairs).values())
+    assert "shingles" not in kept_rows["shingles"][0] and 0 < sum(map(len, kept_rows["sets"])) <= 70
+
+
 def test_near_copies_are_not_broadcast_by_the_size_of_files(spark, put, monkeypatch, plans):
     """Rows of a ball, pairs and what is joined with them go through the driver only if they were counted; results are those of small tables."""
     rows = [(k, edited(prose(k % 9, 80), k, k % 5), "en", "s", 0) for k in range(90)]

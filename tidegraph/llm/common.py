@@ -109,14 +109,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def few(count: int) -> bool:
+    """Whether count rows of a few numbers may go through the driver."""
+    return count <= FEW
+
+
 def unless_many(df: DataFrame, count: int) -> DataFrame:
     """A table of count rows, which is joined as Spark likes up to FEW rows, and by shuffling beyond."""
-    return df if count <= FEW else spread(df)
+    return df if few(count) else spread(df)
+
+
+def if_few(df: DataFrame, count: int) -> DataFrame:
+    """Marks a table of count rows of a few numbers for broadcasting if they are FEW at most; else for joins by shuffling."""
+    return F.broadcast(df) if few(count) else spread(df)
 
 
 def if_small(df: DataFrame) -> DataFrame:
     """Marks a settled table of a few numbers a row for broadcasting if it has no more than FEW rows; else for joins by shuffling."""
-    return F.broadcast(df) if df.count() <= FEW else spread(df)
+    return if_few(df, df.count())
 
 
 def join_unique(rows: DataFrame, unique: DataFrame, key: str, count: int) -> DataFrame:

@@ -13,12 +13,12 @@ the places of its shingle in both sets, then by BINS one-bit minima of the shing
 misses 3 in 100,000 pairs at the very threshold, fewer above), then by the exact Jaccard similarity of WORDS-word shingles. Linked
 texts form groups, one document of each stays.
 
-Buckets of SMALL texts at most have all pairs between their groups compared at once, and are done with. No larger one is expanded
-into all its pairs. Rounds compare every text that isn't in its bucket's largest group with one member of
+Buckets of SMALL texts at most give all their pairs where prefixes meet, and are done with: pairs are compared once, whatever number
+of buckets they share, if their texts aren't in one group by then. No larger one is expanded into all its pairs. Rounds compare every text that isn't in its bucket's largest group with one member of
 that group, another in each round, as long as that leaves fewer of them by a fair part; buckets of one group are done with. Then the
 pairs that are left between different groups of a bucket are compared, all of them.
 
-Texts are read by Python twice, first for the counts. A text is known by two 64-bit halves of its MD5: rows whose first half is another text's too are
+Texts are read by Python twice, first for the counts; sets of shingles aren't kept, but made again for texts that are compared. A text is known by two 64-bit halves of its MD5: rows whose first half is another text's too are
 told apart by the second and stay, each text once.
 
 Edge cases: null text: empty; texts without words are copies of each other. Texts with fewer words than a shingle are one
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FEW, Scratch, if_small, map_batches, map_partitions, settle, spread, text_column, unless_many
+from .common import FEW, Scratch, few, if_few, if_small, map_batches, map_partitions, settle, spread, text_column, unless_many
 from .components import components
 from .simhash import links, majority, shingle_hashes
 
@@ -128,22 +128,31 @@ def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.nda
 
 
 def shingled(texts: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """Of every row of doc_id, node, text its distinct shingles' number, prefix and 32-bit hashes, its SimHash fingerprint and its sketch."""
+    """Of every row of doc_id, node, text its distinct shingles' number and prefix, its SimHash fingerprint and its sketch."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lengths, firsts, prints, shorts, sketches = [], [], [], [], []
+        lengths, firsts, prints, sketches = [], [], [], []
         for t in batch.column(2):
             found = shingle_hashes(t.as_py(), WORDS)
             hashes = np.unique(found)
             lengths.append(len(hashes))
             firsts.append(prefix(hashes, common, counts).view(np.int64))
             prints.append(majority(found))
-            shorts.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32)).view(np.int32))
             sketches.append(sketch(hashes))
-        made = [pa.array(lengths, pa.int32()), *(pa.array(x, pa.int64()) for x in (prints, *zip(*sketches, strict=True))), pa.array(firsts, pa.list_(pa.int64())), pa.array(shorts, pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "node", "length", "fp", "m0", "m1", "prefix", "shingles"])
+        made = [pa.array(lengths, pa.int32()), *(pa.array(x, pa.int64()) for x in (prints, *zip(*sketches, strict=True))), pa.array(firsts, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "node", "length", "fp", "m0", "m1", "prefix"])
 
-    return map_batches(texts.select("doc_id", "node", "text"), run, "doc_id long, node long, length int, fp long, m0 long, m1 long, prefix array<long>, shingles array<int>")
+    return map_batches(texts.select("doc_id", "node", "text"), run, "doc_id long, node long, length int, fp long, m0 long, m1 long, prefix array<long>")
+
+
+def sets_of(texts: DataFrame) -> DataFrame:
+    """node, shingles of every row of node, text: the 32-bit hashes of its distinct shingles."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.unique((shingle_hashes(t.as_py(), WORDS) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in batch.column(1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["node", "shingles"])
+
+    return map_batches(texts.select("node", "text"), run, "node long, shingles array<int>")
 
 
 def sketch(hashes: np.ndarray) -> list[int]:
@@ -173,11 +182,11 @@ def plausible(a: str, b: str) -> Column:
 
 
 class Linker:
-    """Compares candidate pairs and keeps what was linked. every: node, doc_id, shingles; chosen: node, least (the row of every to take)."""
+    """Compares candidate pairs and keeps what was linked. texts: node, doc_id, text; chosen: node, least (the row of texts to take)."""
 
-    def __init__(self, every: DataFrame, chosen: DataFrame, scratch: Scratch):
-        spark = every.sparkSession
-        self.every, self.chosen, self.scratch = every.select("node", "doc_id", "shingles"), chosen.select("node", "least"), scratch
+    def __init__(self, texts: DataFrame, chosen: DataFrame, scratch: Scratch):
+        spark = texts.sparkSession
+        self.texts, self.chosen, self.scratch = texts.select("node", "doc_id", "text"), chosen.select("node", "least"), scratch
         self.tested = self.edges = spark.createDataFrame([], "u long, v long")
         self.labels = spark.createDataFrame([], "node long, root long")
         self.sets: DataFrame | None = None
@@ -189,20 +198,22 @@ class Linker:
         missing = nodes if self.sets is None else nodes.join(self.sets.select("node"), "node", "left_anti")
         missing = self.scratch.settle(missing.join(spread(self.chosen), "node"), "missing")
         if self.sets is None or not missing.isEmpty():
-            found = self.every.join(if_small(missing), "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
-            made = self.scratch.settle(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+            found = self.texts.join(if_small(missing), "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
+            made = self.scratch.settle(sets_of(found).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
             self.sets = made if self.sets is None else self.sets.union(made)
         return self.sets
 
     def test(self, candidates: DataFrame) -> tuple[int, int]:
         """Compares the candidate pairs u, v that haven't been compared; how many there were, and how many were linked."""
-        pairs = self.scratch.settle(candidates.distinct().join(unless_many(self.tested, self.tests), ["u", "v"], "left_anti"), "pairs")
+        pairs = self.scratch.settle(candidates.distinct().join(if_few(self.tested, self.tests), ["u", "v"], "left_anti"), "pairs")
         count = pairs.count()
         if not count:
             return 0, 0
         sets = self.know(pairs)
+        if few(count):  # else nearly all are needed
+            sets = sets.join(F.broadcast(pairs.select(F.explode(F.array("u", "v")).alias("node"))), "node", "left_semi")
         end = lambda name: unless_many(sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_shingles")), count)
-        whole = pairs.join(end("u"), "u").join(end("v"), "v")
+        whole = end("u").join(if_few(pairs, count), "u").join(end("v"), "v")
         common, sizes = F.size(F.array_intersect("u_shingles", "v_shingles")), [F.size("u_shingles"), F.size("v_shingles")]
         sized = F.least(*sizes) >= SIMILARITY * F.greatest(*sizes)
         good = self.scratch.settle(whole.where(sized & (common >= SIMILARITY * (sizes[0] + sizes[1] - common))).select("u", "v"), "links")
@@ -243,39 +254,46 @@ def one_each(every: DataFrame, scratch: Scratch) -> DataFrame:
     return every.select("node", *columns).join(several, "node", "left_anti").unionByName(once(every.join(several, "node")))
 
 
+def small_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs u, v that may be similar by where they meet, as often as they do, of rows node, length, pos, bucket; buckets have SMALL at most."""
+    lists = rows.groupBy("bucket").agg(F.collect_list(F.struct("node", "length", "pos")).alias("all"))
+    pairs = lists.select("all", F.posexplode("all").alias("k", "a")).select("a", F.explode(F.slice("all", F.col("k") + 2, SMALL)).alias("b"))
+    pairs = pairs.select(*[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("a", "b") for c in ("node", "length", "pos")])
+    return pairs.where(possible("a_", "b_")).select(*ordered("a_node", "b_node"))
+
+
 def near_groups(texts: DataFrame, distinct: DataFrame) -> DataFrame:
     """node, root for the distinct texts that are linked to others; texts: doc_id, node, text; distinct: node, least (a doc_id that has it)."""
     scratch = Scratch(texts.sparkSession)
     common = common_shingles(texts, distinct.count())
     every = scratch.settle(shingled(texts, *common), "shingles")
-    first = Scratch(texts.sparkSession)
-    made = one_each(every, first)
+    made = one_each(every, scratch)
     rows = made.select("node", "length", F.posexplode("prefix").alias("pos", "bucket"))
-    shared = rows.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).where("size > 1").drop("size")
-    members = first.settle(shared, "members")
-    first.release()
+    sized = rows.withColumn("size", F.count("*").over(Window.partitionBy("bucket")))
+    # Both parts are made of one shuffle: pairs of small buckets and, without pairs, members of larger ones.
+    both = small_pairs(sized.where(F.col("size").between(2, SMALL))).unionByName(sized.where(F.col("size") > SMALL).drop("size"), allowMissingColumns=True)
+    both = scratch.settle(both, "members")
+    scratch.release()
+    small, members = both.where("u IS NOT NULL").select("u", "v"), both.where("u IS NULL").drop("u", "v")
     # Texts with few edits meet most others: they are the ones that rounds compare with.
-    met = members.groupBy("node").agg(F.count("*").alias("met")).join(spread(distinct), "node").join(spread(made.select("node", "fp", "m0", "m1")), "node")
+    nodes = members.select("node", F.lit(1).alias("one")).union(small.select(F.explode(F.array("u", "v")), F.lit(0)))
+    met = nodes.groupBy("node").agg(F.sum("one").alias("met")).join(spread(distinct), "node").join(spread(made.select("node", "fp", "m0", "m1")), "node")
     met = scratch.settle(met, "met")
     members = scratch.settle(members.join(if_small(met.select("node", "met", "m0", "m1")), "node"), "members")
-    first.clear()
-    linker = Linker(every, met, scratch)
+    linker = Linker(texts, met, scratch)
     linker.test(print_pairs(met, scratch))
 
     def unfinished() -> DataFrame:
-        """Members, with their group and the size of their bucket, of buckets with several groups."""
-        now = members.join(unless_many(linker.labels, linker.labels.count()), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("bucket", "size")
-        return scratch.settle(now.join(several, "bucket"), "members")
+        """Members, with their group, of buckets with several groups."""
+        now = members.join(if_small(linker.labels), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+        return scratch.settle(now.join(if_small(scratch.settle(several, "several")), "bucket"), "members")
 
     ends = ("node", "length", "pos", "m0", "m1")
 
-    def within(few: DataFrame) -> DataFrame:
-        """All pairs u, v between different groups of buckets with SMALL members at most."""
-        lists = few.repartition("bucket").groupBy("bucket").agg(F.collect_list(F.struct("root", *ends)).alias("all"))
-        pairs = lists.select("all", F.posexplode("all").alias("k", "a")).select("a", F.explode(F.slice("all", F.col("k") + 2, SMALL)).alias("b"))
-        pairs = pairs.select(*[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("a", "b") for c in ("root", *ends)])
-        return pairs.where((F.col("a_root") != F.col("b_root")) & possible("a_", "b_") & plausible("a_", "b_")).select(*ordered("a_node", "b_node"))
+    def labelled(rows: DataFrame, name: str) -> DataFrame:
+        labels = linker.labels.withColumnsRenamed({"node": name, "root": f"{name}_root"})
+        return rows.join(if_small(labels), name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
 
     def grouped(now: DataFrame, turn: int) -> DataFrame:
         """Such members, and of each bucket the largest group and one of its members."""
@@ -286,19 +304,19 @@ def near_groups(texts: DataFrame, distinct: DataFrame) -> DataFrame:
         return now.join(largest, "bucket")
 
     # Small buckets are done with at once, so that rounds don't deal them again and again.
-    members = unfinished()
-    linker.test(within(members.where(F.col("size") <= SMALL)))
-    members = members.where(F.col("size") > SMALL).drop("root", "size")
+    opened = scratch.settle(labelled(labelled(small.distinct(), "u"), "v").where("u_root <> v_root").select("u", "v"), "members")
+    end = lambda name: if_small(met.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("m0", "m1")]))
+    linker.test(opened.join(end("u"), "u").join(end("v"), "v").where(plausible("u_", "v_")).select("u", "v"))
     turn, before, fair = 0, None, True
     while fair:
-        members = unfinished().drop("size")
+        members = unfinished()
         others = [f"other_{c}" for c in ends]
         away = scratch.settle(grouped(members, turn).where(F.col("root") != F.col("top")).select(*ends, *others), "away")
         _, linked = linker.test(away.where(possible("", "other_") & plausible("", "other_")).select(*ordered("node", "other_node")))
         members, left = members.drop("root"), away.count()
         turn, before, fair = turn + 1, left, linked > 0 and (before is None or left < (1 - FAIR) * before)
     # What no round has linked: all pairs between different groups of a bucket, of which one isn't in its largest group.
-    left = scratch.settle(grouped(unfinished().drop("size"), turn).select("bucket", "root", "top", *ends), "left")
+    left = scratch.settle(grouped(unfinished(), turn).select("bucket", "root", "top", *ends), "left")
     if not left.isEmpty():
         end = lambda rows, name: rows.select("bucket", "top", *[F.col(c).alias(f"{name}_{c}") for c in ("root", *ends)])
         rest, others = end(left.where("root != top"), "a"), unless_many(end(left, "b").drop("top"), left.count())
