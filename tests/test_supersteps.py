@@ -307,3 +307,41 @@ def test_hooks_indexes_and_skips(spark):
     done = run(Graph.dense(edges, 3), program)
     assert program.seen == ["init", (6.0, 3.0, 3.0), 2] and done.report[0]["sent"] == 2 == done.report[1]["received"]
     assert {r["id"]: r["value"] for r in done.vertices.collect()} == {0: 0.0, 1: 0.0, 2: 2.0}
+
+
+def test_sums_are_sent_as_a_row_for_each_pair_of_parts(spark):
+    from tidegraph.operators.pagerank import PageRank
+    from tidegraph.plans import superstep
+
+    edges = spark.range(20_000).select((F.col("id") % 97).alias("src"), (F.col("id") % 89).alias("dst"))
+    graph = Graph.dense(edges, 100)
+    made = superstep._supersteps(graph, PageRank(), graph.edges, graph.out_degrees(), 4, 3)
+    state = graph.initial_state().repartition(made.count, "id").persist()
+    made.deal(state)
+    first = made.superstep(state, None, 0, {"change": 0.0})
+    assert made.messages(first).count() <= 9  # 8633 pairs of vertices have edges
+    made.clear()
+
+
+class SomeSend(VertexProgram):
+    """A third of the vertices sends nothing, some send null; others have no out-edges, so that they mustn't divide."""
+
+    combine = {"sum": lambda src, value: F.sum(value)}
+
+    def compute(self, ctx):
+        if ctx.superstep == 0:
+            return Step(halt=True, send=ctx.id % 3 != 0, message=lambda v, e: F.when(v.id % 5 != 0, (v.id * 60) / v.out_degree))
+        return Step(value=F.coalesce(ctx.inbox("sum"), F.lit(-1.0)), halt=True)
+
+
+class SomeSendArrays(SomeSend):
+    summed = "sum"
+
+
+def test_sums_as_arrays_equal_those_of_messages(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(25), rng.randrange(40)) for _ in range(60)] + [(1, 2), (1, 2), (1, 77), (88, 3), (10, 39), (10, 38)]
+    vertices = spark.range(40).where("id <> 7").select("id", F.lit(0.0).alias("value"))
+    both = [run(Graph(vertices, spark.createDataFrame(edges, "src long, dst long")), program, partitions=3) for program in (SomeSend(), SomeSendArrays())]
+    assert both[0].report == both[1].report and both[0].report[1]["dropped"] > 0
+    assert {k: round(v, 9) for k, v in values(both[0]).items()} == {k: round(v, 9) for k, v in values(both[1]).items()}

@@ -16,6 +16,7 @@ class PageRank(VertexProgram):
     """Every vertex starts at 1.0; from superstep 2 on all halt once the last sum of changes is below epsilon."""
 
     combine = {"sum": lambda src, value: F.sum(value)}
+    summed = "sum"
     aggregators = {"change": total(0.0)}
 
     def __init__(self, epsilon: float = EPSILON, damping: float = DAMPING):
@@ -24,7 +25,7 @@ class PageRank(VertexProgram):
     def compute(self, ctx: Context) -> Step:
         if ctx.superstep >= 2 and ctx.aggregate("change") < self.epsilon:
             return Step(halt=True)
-        # The division is made where edges are, so that vertices without any never divide.
+        # Messages are made for vertices with out-edges only, so that those without any never divide.
         share = lambda v, e: v.value / v.out_degree
         if ctx.superstep == 0:
             return Step(value=F.lit(1.0), message=share)

@@ -106,6 +106,9 @@ class VertexProgram(Hooks):
     message_type = "double"
     #: Whether steps skip out-edges, so that they need an order; a vertex's edges are then sorted in one task.
     ordered = False
+    #: The name of combine's only entry, if it is the sum of messages that are doubles, go along all out-edges and don't depend on the
+    #: edge: parts then exchange arrays, and no row is made for an edge.
+    summed: str | None = None
 
     def compute(self, ctx: Context) -> Step:
         raise NotImplementedError
